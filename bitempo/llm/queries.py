@@ -20,11 +20,23 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitempo.llm.op03_token_files import token_files
+
+    return token_files(table(spark, sf_dir, "documents"), byte_bpe())
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitempo.llm.op07_suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bitempo.llm.op10_token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), byte_bpe())
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_token_files, op7_suffix_dedup, op10_token_counts)}
 ORACLES: dict[str, str] = {}
