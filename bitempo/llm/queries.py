@@ -26,6 +26,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitempo.llm.op06_ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bitempo.llm.op07_suffix_dedup import remove_repeats
 
@@ -38,5 +44,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), byte_bpe())
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_token_files, op7_suffix_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_token_files, op6_ngram_join, op7_suffix_dedup, op10_token_counts)}
 ORACLES: dict[str, str] = {}
