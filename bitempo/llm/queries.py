@@ -44,5 +44,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), byte_bpe())
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_token_files, op6_ngram_join, op7_suffix_dedup, op10_token_counts)}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitempo.llm.op08_warc import warc_round_trip
+
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitempo.llm.op05_html import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitempo.llm.op04_mtree import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op4_topk, op5_html, op8_warc, op1_bpe, op3_token_files, op6_ngram_join, op7_suffix_dedup, op10_token_counts)}
 ORACLES: dict[str, str] = {}

@@ -15,10 +15,10 @@ from bitempo.llm import hashing as H
 
 
 class Suffixes:
-    """Suffixes of a byte array, compared up to a cap."""
+    """Suffixes of an array of bytes or other small integers, compared up to a cap."""
 
     def __init__(self, data: np.ndarray):
-        self.data = np.asarray(data, np.uint8)
+        self.data = np.asarray(data)
         self.sums = H.prefix(self.data.astype(np.uint64) + np.uint64(1))
         self.down = H.POWERS.get(len(self.data) + 1)[1]
 
