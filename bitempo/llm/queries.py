@@ -62,5 +62,11 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op4_topk, op5_html, op8_warc, op1_bpe, op3_token_files, op6_ngram_join, op7_suffix_dedup, op10_token_counts)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitempo.llm.op09_quality import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), whole=False)
+
+
+QUERIES = {f.__name__: f for f in (op9_quality, op4_topk, op5_html, op8_warc, op1_bpe, op3_token_files, op6_ngram_join, op7_suffix_dedup, op10_token_counts)}
 ORACLES: dict[str, str] = {}
