@@ -10,19 +10,21 @@ hashes cannot fill a task.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitempo.llm.spaces import partitions, through
+from bitempo.llm.spaces import drop, partitions, through
 
 #: Bytes of text in a block, unless one row alone is longer.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 BLOCKS = "block long, n_rows long, n_bytes long, rows binary"
 
 
@@ -38,7 +40,10 @@ def from_ipc(raw: bytes) -> pa.Table:
 
 
 def pack(df: DataFrame, path: str, key: str, text: str, size: int = BLOCK_BYTES) -> DataFrame:
-    """Write df as blocks at path; rows of a block ascend by key, nulls last. The block table, read back."""
+    """Write df as blocks at path; rows of a block ascend by key, nulls last. The block table, read back.
+
+    It is bucketed by block, so what joins answers to blocks shuffles the answers alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, lengths, seq = TaskContext.get().partitionId(), [], 0, 0
@@ -52,7 +57,7 @@ def pack(df: DataFrame, path: str, key: str, text: str, size: int = BLOCK_BYTES)
 
         for b in batches:
             t = pa.Table.from_batches([b])
-            n = np.asarray(pa.compute.fill_null(pa.compute.binary_length(t.column(text)), 0)).astype(np.int64)
+            n = np.asarray(pc.fill_null(pc.binary_length(t.column(text)), 0)).astype(np.int64)
             ends, at = np.cumsum(n), 0
             while at < t.num_rows:
                 base = ends[at - 1] if at else 0
@@ -68,7 +73,20 @@ def pack(df: DataFrame, path: str, key: str, text: str, size: int = BLOCK_BYTES)
         if held:
             yield out()
 
-    return through(df.withColumn(text, F.col(text).cast("string")).mapInArrow(run, BLOCKS), path)
+    spark = df.sparkSession
+    name = f"blocks_{uuid.uuid4().hex}"
+    packed = df.withColumn(text, F.col(text).cast("string")).mapInArrow(run, BLOCKS)
+    packed.write.option("path", path).bucketBy(partitions(spark), "block").saveAsTable(name)
+    return spark.table(name)
+
+
+def release(blocks: DataFrame, path: str) -> None:
+    """Forget the block table and delete its files."""
+    spark = blocks.sparkSession
+    for t in spark.catalog.listTables():
+        if t.name.startswith("blocks_") and path.rstrip("/") in spark.sql(f"describe formatted {t.name}").where("col_name = 'Location'").first()[1]:
+            spark.sql(f"drop table {t.name}")
+    drop(spark, path)
 
 
 def hash_bits(blocks: DataFrame) -> int:
@@ -172,7 +190,7 @@ def with_answers(blocks: DataFrame, *answers: DataFrame) -> DataFrame:
 
 def strings(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A string column's bytes, and each row's start and end in them; nulls are empty."""
-    a = pa.compute.fill_null(table.column(column).cast(pa.large_string()), "").combine_chunks()
+    a = pc.fill_null(table.column(column).cast(pa.large_string()), "").combine_chunks()
     if isinstance(a, pa.ChunkedArray):
         a = pa.concat_arrays(a.chunks) if a.num_chunks else pa.array([], pa.large_string())
     off = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int64)

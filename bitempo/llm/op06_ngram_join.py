@@ -240,7 +240,7 @@ def shingle_sets(docs: DataFrame, folder: str, key: str, text: str, size: int, p
                 yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks().chunk(0) if isinstance(t.column("id").combine_chunks(), pa.ChunkedArray) else t.column("id").combine_chunks(), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.array(shared, pa.binary())], ["id", "n", "f1", "f2", "shared"])
 
     out = through(B.with_answers(blocks, totals).mapInArrow(run, "id long, n long, f1 long, f2 long, shared binary"), f"{folder}/sets")
-    drop(docs.sparkSession, f"{folder}/blocks")
+    B.release(blocks, f"{folder}/blocks")
     drop(docs.sparkSession, f"{folder}/shingles")
     return out
 

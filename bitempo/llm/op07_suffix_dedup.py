@@ -26,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,9 +52,11 @@ def slide(x: np.ndarray, width: int, f) -> np.ndarray:
 
 
 class Shape:
-    """Window length, anchor length and what follows from them."""
+    """Window length (at most 127), anchor length and what follows from them."""
 
     def __init__(self, length: int, gram: int):
+        if not 0 < length - gram < 32 or length > 127:
+            raise ValueError("a window must have 2 to 32 anchors to choose from and at most 127 bytes")
         self.length, self.gram = length, gram
         self.w = length - gram + 1  # anchors to choose from in a window; at most 32, so that a mask fits 32 bits
         self.before = self.w - 1
@@ -99,7 +102,7 @@ class Block:
         self.table, self.shape = table, shape
         self.data, self.starts, self.ends = B.strings(table, text)
         keys = table.column(key).cast(pa.int64())
-        self.keys = np.asarray(pa.compute.fill_null(keys, LAST), np.int64)
+        self.keys = np.asarray(pc.fill_null(keys, LAST), np.int64)
         self.pos, self.h = anchors(self.data, self.starts, self.ends, shape)
         self.doc = np.searchsorted(self.ends, self.pos, side="right")
         self.distinct, self.number = np.unique(self.h, return_inverse=True)
@@ -134,22 +137,22 @@ class Block:
         if len(many):
             row, j = np.nonzero((self.masks(many)[:, None] >> np.arange(self.shape.w, dtype=np.uint32)) & 1)
             start, at = np.unique(self.pos[many][row] - j, return_index=True)
-            own = H.mix(H.spans(H.prefix(self.data), start, start + length) ^ np.uint64(0x5851F42D4C957F2D))
             place = np.concatenate([place, start + before])
             doc = np.concatenate([doc, self.doc[many][row[at]]])
-            h = np.concatenate([h, own])
+            h = np.concatenate([h, np.zeros(len(start), np.uint64)])
             mask = np.concatenate([mask, np.full(len(start), 1 << before, np.uint32)])
         if not len(place):
             empty = np.zeros(0, np.int64)
             return (empty, empty, empty), (h, mask, empty, np.zeros((0, wide), np.uint8))
-        context = self.contexts(place, doc)
-        context[len(some) :, length:] = 0
         words = np.zeros((len(place), -(-wide // 8) * 8), np.uint8)
-        words[:, :wide] = context
+        words[:, :wide] = self.contexts(place, doc)
+        words[len(some) :, length:] = 0
+        context = words[:, :wide]
         words = words.view("<u8")
         sums = H.mix(mask.astype(np.uint64))
         for c in range(words.shape[1]):
             sums = H.mix(sums + words[:, c] * np.uint64(2 * c + 3))
+        h[len(some) :] = H.mix(sums[len(some) :])
         order = np.lexsort((sums, h))  # stable: documents ascend within an entry
         new = np.ones(len(order), bool)
         o, p = order[1:], order[:-1]
@@ -239,11 +242,14 @@ def covered(block: Block, totals: np.ndarray, masks: np.ndarray, hot: int) -> np
     row, j = np.nonzero((bits[on][:, None] >> np.arange(block.shape.w, dtype=np.uint32)) & 1)
     start = place[on][row] - j
     n = len(block.data)
-    edge = np.bincount(start, minlength=n + 1) - np.bincount(start + block.shape.length, minlength=n + 1)
-    return np.cumsum(edge)[:n] > 0
+    start = np.unique(start)
+    edge = np.zeros(n + 1, np.int8)  # no more windows than their length cover a byte
+    edge[start] += 1
+    edge[start + block.shape.length] -= 1
+    return np.cumsum(edge[:n], dtype=np.int8) > 0
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, gram: int = 20, hot: int = 1024, texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, gram: int = 28, hot: int = 1024, texts: bool = True) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept_sha256; with texts, the column text holds what is kept (bytes that no longer form a character go too), else it goes with all columns but the key."""
     spark = docs.sparkSession
     shape = Shape(length, gram)
@@ -278,12 +284,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
 def digest(block: Block, gone: np.ndarray, columns: list[str], text: str | None) -> pa.RecordBatch:
     """A row for each document of the block."""
-    sums = np.concatenate([[0], np.cumsum(gone)])
+    sums = np.concatenate([[0], np.cumsum(gone, dtype=np.int32)])
     opens = gone.copy()
     opens[1:] &= ~gone[:-1]
     firsts = block.starts[block.starts < block.ends]
     opens[firsts] = gone[firsts]
-    spans = np.concatenate([[0], np.cumsum(opens)])
+    spans = np.concatenate([[0], np.cumsum(opens, dtype=np.int32)])
     kept, stay, hashes = block.data[~gone], [], []
     ends = block.ends - sums[block.ends]
     begins = block.starts - sums[block.starts]
