@@ -68,5 +68,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), whole=False)
 
 
-QUERIES = {f.__name__: f for f in (op9_quality, op4_topk, op5_html, op8_warc, op1_bpe, op3_token_files, op6_ngram_join, op7_suffix_dedup, op10_token_counts)}
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitempo.llm.op02_decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op9_quality, op4_topk, op5_html, op8_warc, op1_bpe, op3_token_files, op6_ngram_join, op7_suffix_dedup, op10_token_counts)}
 ORACLES: dict[str, str] = {}
