@@ -25,6 +25,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bitempo.llm.spaces import shared_folder, through
+
 BITS = 64
 
 
@@ -87,7 +89,8 @@ def item_table(benchmark: DataFrame, item: str, text: str, size: int) -> DataFra
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 5, least: float = 0.8, radius: int = 23, blocks: int = 8, literal_grams: int = 100_000, broadcast_rows: int = 500_000) -> DataFrame:
     """(key, item_id, start, similarity): each document's best window for each item that it contains."""
-    items = item_table(benchmark, item, item_text, size).withColumn("k", F.least(F.lit(size), "n")).cache()
+    folder = shared_folder(docs.sparkSession)
+    items = through(item_table(benchmark, item, item_text, size).withColumn("k", F.least(F.lit(size), "n")), f"{folder}/items")
     placed = items.withColumn("word_hashes", F.transform("item_words", lambda w: F.xxhash64(w)))
     sizes = sorted(r[0] for r in items.select("k").distinct().collect())  # at most `size` values
     rows = docs.select(F.col(key).alias("key"), words_of(F.col(text)).alias("words"))
@@ -115,14 +118,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         windows.append(found.select("key", "start", "n", F.slice("words", F.col("start") + 1, F.col("n")).alias("window")))
     window = reduce(DataFrame.unionAll, windows).dropDuplicates(["key", "start", "n", "window"])
     window = window.withColumn("shingles", shingles("window", size)).withColumn("hashes", F.transform("shingles", lambda s: F.xxhash64(s)))
-    window = window.select("key", "start", "n", "shingles", fingerprint("hashes").alias("own"))
-    parts = near_parts(items.select("item_id", "n", "item_shingles", "print"), radius, blocks)
+    # written, so that no filter above can be moved below the fingerprints and compute them for every hit
+    window = through(window.select("key", "start", "n", "shingles", fingerprint("hashes").alias("own")), f"{folder}/windows")
+    parts = near_parts(items.select("item_id", "n", "print"), radius, blocks)
     few = parts.limit(broadcast_rows + 1).count() <= broadcast_rows
-    looked = window.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("value", part(F.col("own"), F.col("i"), blocks))
+    looked = window.select("key", "start", "n", "own").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("value", part(F.col("own"), F.col("i"), blocks))
     near = looked.join(F.broadcast(parts) if few else parts, ["n", "i", "value"]).where(F.bit_count(F.col("own").bitwiseXOR(F.col("print"))) <= radius)
-    # a pair within the radius meets in several parts; the first of them keeps it
-    first = reduce(lambda a, j: F.when(F.bit_count(part(F.col("own"), j, blocks).bitwiseXOR(part(F.col("print"), j, blocks))) <= radius // blocks, F.lit(j)).otherwise(a), reversed(range(blocks)), F.lit(blocks))
-    pairs = near.where(F.col("i") == first).withColumn("similarity", similarity("shingles", "item_shingles")).where(F.col("similarity") >= least)
+    # a pair within the radius can meet in several parts
+    met = near.select("key", "start", "n", "item_id").distinct()
+    own = window.select(F.col("key").alias("key2"), F.col("start").alias("start2"), F.col("n").alias("n2"), "shingles")
+    full = met.join(own, F.col("key").eqNullSafe(F.col("key2")) & (F.col("start") == F.col("start2")) & (F.col("n") == F.col("n2")))
+    pairs = full.join(items.select("item_id", "item_shingles"), "item_id").withColumn("similarity", similarity("shingles", "item_shingles")).where(F.col("similarity") >= least)
     best = pairs.groupBy("key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     return best.select(F.col("key").alias(key), "item_id", (-F.col("best.back")).alias("start"), F.round("best.similarity", 9).alias("similarity"))
 
