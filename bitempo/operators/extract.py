@@ -103,7 +103,8 @@ def extract(turns: DataFrame, completer: Callable[[str, str | None], str], obser
                 except Unparsable:
                     items = [{"section": "response", "item": 0, "why": "unparsable"}]
                 rows += [{"session": t.session, "position": t.position} | x for x in items]
-            out = pd.DataFrame(rows, columns=columns)
+            out = pd.DataFrame(rows, columns=columns, dtype=object)
+            out = out.where(out.notna(), None)
             for c in ("subject", "object"):
                 out[c] = out[c].astype("Int32")
             out["at"] = out["at"].astype("Int64")
