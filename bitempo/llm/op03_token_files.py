@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from bitempo.llm.backends import encoder
 from bitempo.llm.op01_bpe import blocks
-from bitempo.llm.spaces import drop, partitions, shared_folder, through
+from bitempo.llm.spaces import bounded_sample, drop, partitions, shared_folder, through
 
 HEAD, FOOT = "<4sIIQ", "<QQQ4s"
 INDEX = np.dtype([("key", "<i8"), ("null", "u1"), ("offset", "<u8"), ("size", "<u4"), ("ids", "<u8")])
@@ -52,7 +52,7 @@ def serialize(ids: np.ndarray, size: int) -> bytes:
 
 def train(docs: DataFrame, path: str, text: str, end_id: int, samples: int, sample_chars: int, dict_bytes: int) -> bytes:
     """A dictionary from a bounded sample of documents, the same for the same table; empty where there is too little to train on."""
-    rows = docs.select(text).where(F.length(text).between(1, sample_chars)).orderBy(F.xxhash64(text), text).limit(samples).collect()
+    rows = bounded_sample(docs.select(text).where(F.length(text).between(1, sample_chars)), [text], samples, docs.count()).collect()
     e, size = encoder("library", path), width(path)
     ids, off = e.encode([r[0] for r in rows])
     parts = [serialize(np.append(ids[a:b], end_id), size) for a, b in zip(off[:-1], off[1:], strict=True)]

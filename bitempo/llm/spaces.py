@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,3 +39,23 @@ def drop(spark: SparkSession, path: str) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bounded_sample(df: DataFrame, by: list[str], n: int, total: int) -> DataFrame:
+    """About the n rows with the smallest hash of `by`, the same for the same table. Rows that cannot be among them are left out where they are read, so no task or driver gets more than some n rows."""
+    share = min(1.0, 4 * n / max(1, total))
+    h = F.xxhash64(*by)
+    return df.where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.pmod(h, F.lit(1 << 30)), *by).limit(n)
+
+
+def tidied(run):
+    """run, giving unused memory back to the system after each batch: a worker serves many stages, and what one keeps the next has not."""
+
+    def tidy_run(batches):
+        for out in run(batches):
+            yield out
+            del out
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidy_run
