@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitempo.llm.spaces import drop, partitions, through
+from bitempo.llm.spaces import drop, partitions, through, tidied
 
 #: Bytes of text in a block, unless one row alone is longer.
 BLOCK_BYTES = 8 << 20
@@ -75,7 +75,7 @@ def pack(df: DataFrame, path: str, key: str, text: str, size: int = BLOCK_BYTES)
 
     spark = df.sparkSession
     name = f"blocks_{uuid.uuid4().hex}"
-    packed = df.withColumn(text, F.col(text).cast("string")).mapInArrow(run, BLOCKS)
+    packed = df.withColumn(text, F.col(text).cast("string")).mapInArrow(tidied(run), BLOCKS)
     packed.write.option("path", path).bucketBy(partitions(spark), "block").saveAsTable(name)
     return spark.table(name)
 
@@ -177,7 +177,7 @@ def shared_counts(blocks: DataFrame, hashes_of: Callable, path: str, columns: li
                 rows = list(send_hashes(h, c, bits, parts))
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["block", "part", "hashes", "counts"])
 
-    return exchange(blocks.select("block", "rows").mapInArrow(send, HASHES), total_counts, path, columns)
+    return exchange(blocks.select("block", "rows").mapInArrow(tidied(send), HASHES), total_counts, path, columns)
 
 
 def with_answers(blocks: DataFrame, *answers: DataFrame) -> DataFrame:

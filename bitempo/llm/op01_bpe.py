@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitempo.llm.backends import encoder
+from bitempo.llm.spaces import tidied
 
 #: Characters of text encoded at a time.
 BLOCK = 1 << 20
@@ -55,7 +56,7 @@ def bpe_encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(ids)), pa.ListArray.from_arrays(pa.array(off), pa.array(flat, pa.int32()))], [key, "ids"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return docs.select(key, F.col(text).cast("string")).mapInArrow(tidied(run), f"`{key}` {kind}, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -68,7 +69,7 @@ def bpe_decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "i
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.string())], [key, "text"])
 
     kind = dict(encoded.dtypes)[key]
-    return encoded.select(key, ids).mapInArrow(run, f"`{key}` {kind}, text string")
+    return encoded.select(key, ids).mapInArrow(tidied(run), f"`{key}` {kind}, text string")
 
 
 def bpe_round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -89,4 +90,4 @@ def bpe_round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(ids)), pa.array(n, pa.int64()), pa.array(written), pa.array(decoded)], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(key, F.col(text).cast("string")).mapInArrow(tidied(run), f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

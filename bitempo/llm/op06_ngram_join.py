@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from bitempo.llm import blocks as B
 from bitempo.llm import hashing as H
-from bitempo.llm.spaces import drop, partitions, shared_folder, through
+from bitempo.llm.spaces import drop, partitions, shared_folder, through, tidied
 from bitempo.plans.components import connected_components
 
 STEP = 1 << 17
@@ -239,7 +239,7 @@ def shingle_sets(docs: DataFrame, folder: str, key: str, text: str, size: int, p
                         shared.append(None)
                 yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks().chunk(0) if isinstance(t.column("id").combine_chunks(), pa.ChunkedArray) else t.column("id").combine_chunks(), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.array(shared, pa.binary())], ["id", "n", "f1", "f2", "shared"])
 
-    out = through(B.with_answers(blocks, totals).mapInArrow(run, "id long, n long, f1 long, f2 long, shared binary"), f"{folder}/sets")
+    out = through(B.with_answers(blocks, totals).mapInArrow(tidied(run), "id long, n long, f1 long, f2 long, shared binary"), f"{folder}/sets")
     B.release(blocks, f"{folder}/blocks")
     drop(docs.sparkSession, f"{folder}/shingles")
     return out
@@ -255,7 +255,7 @@ def candidate_keys(reps: DataFrame, percent: int) -> DataFrame:
                 first = s[: len(s) - need(n, percent) + 1].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.full(len(first), rep), pa.int64())], ["shingle", "rep"])
 
-    return reps.select("rep", "n", "shared").mapInArrow(run, "shingle long, rep long")
+    return reps.select("rep", "n", "shared").mapInArrow(tidied(run), "shingle long, rep long")
 
 
 def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, big: int = 1500) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from bitempo.llm import blocks as B
 from bitempo.llm import hashing as H
-from bitempo.llm.spaces import partitions, shared_folder
+from bitempo.llm.spaces import partitions, shared_folder, tidied
 from bitempo.llm.suffixes import Suffixes
 
 #: Window starts handled at a time: their arrays stay in a core's cache.
@@ -265,7 +265,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 rows = list(send_entries(Block(B.from_ipc(raw.as_buffer()), key, text, shape), B.counts_of(answers or []), hot, parts))
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["block", "part", "n", "entries"])
 
-    sent = B.with_answers(blocks, totals).mapInArrow(send, "block long, part int, n long, entries binary")
+    sent = B.with_answers(blocks, totals).mapInArrow(tidied(send), "block long, part int, n long, entries binary")
     masks = B.exchange(sent, lambda rows: resolve(rows, shape), f"{folder}/windows", [])
 
     kept = [f for f in docs.schema.fields if f.name == key or texts]
@@ -279,7 +279,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 gone = covered(block, B.counts_of(a0 or []), np.concatenate(got) if got else np.zeros(0, np.uint32), hot)
                 yield digest(block, gone, [f.name for f in kept], text if texts else None)
 
-    return B.with_answers(blocks, totals, masks).mapInArrow(finish, schema)
+    return B.with_answers(blocks, totals, masks).mapInArrow(tidied(finish), schema)
 
 
 def digest(block: Block, gone: np.ndarray, columns: list[str], text: str | None) -> pa.RecordBatch:

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from bitempo.llm import blocks as B
 from bitempo.llm import hashing as H
-from bitempo.llm.spaces import shared_folder, through
+from bitempo.llm.spaces import bounded_sample, shared_folder, through, tidied
 
 BITS = 20
 LEAST = (1.0, 1.5, 2.0, 2.5, 3.0)
@@ -137,7 +137,7 @@ def count_features(docs: DataFrame, labels: DataFrame, key: str, text: str, fold
 
     schema = "part int, counts binary, n_raw long, n_target long"
     marked = docs.select(key, text).join(F.broadcast(labels.select(key, "good")), key, "left").select(text, "good")
-    rows = sorted(marked.mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect(), key=lambda r: r["part"])  # 8 rows of fixed size
+    rows = sorted(marked.mapInArrow(tidied(run), schema).groupBy("part").applyInArrow(add, schema).collect(), key=lambda r: r["part"])  # 8 rows of fixed size
     if not rows:
         return np.zeros((2, 2, size)), (0, 0)
     counts = np.concatenate([np.frombuffer(r["counts"], np.int64).reshape(2, 2, -1) for r in rows], axis=2)
@@ -181,7 +181,7 @@ def weights(docs: DataFrame, ratios: np.ndarray, key: str, text: str) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(w.T.ravel())), pa.array(noise)], [key, "weights", "noise"])
 
     schema = T.StructType([docs.schema[key], T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("noise", T.DoubleType())])
-    return docs.select(key, text, F.xxhash64(key).alias("hash")).mapInArrow(run, schema)
+    return docs.select(key, text, F.xxhash64(key).alias("hash")).mapInArrow(tidied(run), schema)
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float:
@@ -229,7 +229,7 @@ def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     spark = docs.sparkSession
     folder = shared_folder(spark)
     usable = labels.select(F.col(key), ((F.coalesce("quality", F.lit(0)) > 0) & (F.coalesce("toxic", F.lit(1)) == 0)).alias("good")).where(F.col(key).isNotNull())
-    bounded = through(usable.groupBy(key).agg(F.min("good").alias("good")).orderBy(F.xxhash64(key), key).limit(max_labels), f"{folder}/labels")
+    bounded = through(bounded_sample(usable.groupBy(key).agg(F.min("good").alias("good")), [key], max_labels, labels.count()), f"{folder}/labels")
     counts, n = count_features(docs, bounded, key, text, folder)
     ratios = log_ratios(counts, n, z)
     raw = through(weights(docs, ratios, key, text), f"{folder}/weights")
@@ -258,4 +258,4 @@ def kept_rows(docs: DataFrame, ratios: np.ndarray, text: str, temperature: float
                 w[i : i + m] = weigh(small, who, what, m, (ratio,))[0]
             yield b.filter(pa.array(w / temperature + gumbel(np.asarray(t.column(extra))) >= least)).select(names)
 
-    return docs.withColumn(extra, F.xxhash64(key)).mapInArrow(run, docs.schema)
+    return docs.withColumn(extra, F.xxhash64(key)).mapInArrow(tidied(run), docs.schema)

@@ -70,7 +70,7 @@ def split(cps: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts. backend.pieces(list of str) encodes pieces, backend.whole(str) any text."""
 
-    def __init__(self, backend, capacity: int = 3_000_000):
+    def __init__(self, backend, capacity: int = 1_500_000):
         self.backend, self.capacity = backend, capacity
         self.clear()
 
