@@ -2,12 +2,12 @@
 
 A page's markup is read into blocks of text, each with the place it stands in: within
 menus, headers, footers, sidebars, notices, adverts, forms, comments and the like
-(which never count), within a marked article, or elsewhere. Where a page marks its
-article, that is its main text, whole: a passage that other pages repeat stays. Where
-it does not, the page's host decides: the pages' token streams are put together, a
-suffix array finds token strings that distinct pages share, blocks that these cover
-are boilerplate, and the unique runs are kept. A host's pages are dealt out in shares
-of about ``share`` pages, so a host with most of the pages is many tasks.
+(which never count), within a marked article, or elsewhere. The host decides: the
+token streams of all its pages are put together, a suffix array finds token strings
+that distinct pages share, blocks that these cover are boilerplate, and the unique
+runs are kept. Markup only protects: a block within a marked article stays though
+other pages repeat it. A host's pages are dealt out in shares of about ``share``
+pages, so a host with most of the pages is many tasks.
 
 A null or empty html gives an empty text. A null url is a host of its own. Repeated
 rows (pages with the same id) are one page to the suffix array. Extra columns are
@@ -68,10 +68,9 @@ def place(name: str, attributes: str, inside: int) -> int:
     return 1
 
 
-def read_page(page: str) -> tuple[list[str], list[str]]:
-    """(blocks of the marked article, blocks elsewhere), in page order, without what is never main text."""
-    main: list[str] = []
-    other: list[str] = []
+def read_blocks(page: str) -> list[tuple[str, bool]]:
+    """(text, whether it stands in the marked article) of the blocks in page order, without what is never main text."""
+    blocks: list[tuple[str, bool]] = []
     stack: list[tuple[str, int]] = []
     text: list[str] = []
     now, at = 1, 0
@@ -81,7 +80,7 @@ def read_page(page: str) -> tuple[list[str], list[str]]:
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
-                (main if now == 2 else other).append(line)
+                blocks.append((line, now == 2))
             text = []
 
     for m in TOKEN.finditer(page):
@@ -122,25 +121,28 @@ def read_page(page: str) -> tuple[list[str], list[str]]:
     if now and at < len(page):
         text.append(page[at:])
     end_block()
-    return main, other
+    return blocks
+
+
+def read_page(page: str) -> tuple[list[str], list[str]]:
+    """(blocks of the marked article, blocks elsewhere), in page order, without what is never main text."""
+    blocks = read_blocks(page)
+    return [x for x, marked in blocks if marked], [x for x, marked in blocks if not marked]
 
 
 def pages_of(batches) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts, rest = [], []
-        for raw in b.column(2).to_pylist():
-            main, other = read_page(raw or "")
-            texts.append("\n".join(main) if main or not other else None)
-            rest.append(other if not main and other else None)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(rest, pa.list_(pa.string()))], ["page_id", "url", "text", "blocks"])
+        read = [read_blocks(raw or "") for raw in b.column(2).to_pylist()]
+        texts, marks = [[x for x, _ in r] for r in read], [[m for _, m in r] for r in read]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.bool_()))], ["page_id", "url", "blocks", "marks"])
 
 
-def unique_runs(pages: list[tuple[int, list[str]]], least: int = 6) -> list[str]:
-    """Text of each page (id, blocks) without the blocks that token strings shared by distinct pages cover."""
+def unique_runs(pages: list[tuple[int, list[str], list[bool]]], least: int = 6) -> list[str]:
+    """Text of each page (id, blocks, whether each is marked) without the unmarked blocks that token strings shared by distinct pages cover."""
     number: dict[str, int] = {}
     stream, owner, block, starts, base = [], [], [], [], 0
-    ids = {p: i for i, p in enumerate(dict.fromkeys(p for p, _ in pages))}
-    for page, blocks in pages:
+    ids = {p: i for i, p in enumerate(dict.fromkeys(p for p, _, _ in pages))}
+    for page, blocks, _ in pages:
         first = len(stream)
         for k, line in enumerate(blocks):
             for w in line.split():
@@ -165,8 +167,8 @@ def unique_runs(pages: list[tuple[int, list[str]]], least: int = 6) -> list[str]
     hit = np.cumsum(covered)[:-1] > 0
     total, gone = np.bincount(block, minlength=base), np.bincount(block, weights=hit, minlength=base)
     out, base = [], 0
-    for _, blocks in pages:
-        keep = 2 * gone[base : base + len(blocks)] < total[base : base + len(blocks)]
+    for _, blocks, marks in pages:
+        keep = (2 * gone[base : base + len(blocks)] < total[base : base + len(blocks)]) | np.array(marks, bool)
         out.append("\n".join(x for x, k in zip(blocks, keep, strict=True) if k))
         base += len(blocks)
     return out
@@ -176,17 +178,15 @@ def extract_text(pages: DataFrame, share: int = 400) -> DataFrame:
     """(page_id, url, text, n_chars) of each page."""
     folder = shared_folder(pages.sparkSession)
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    read = through(source.mapInArrow(pages_of, "page_id long, url string, text string, blocks array<string>"), f"{folder}/pages")
-    columns = ["page_id", "url", "text", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars")]
-    marked = read.where("text is not null").select(*columns)
-    plain = read.where("text is null").withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)))
-    hosts = plain.groupBy("host").agg(F.ceil(F.count("*") / share).alias("shares"))
-    dealt = plain.join(hosts, "host").withColumn("share", F.pmod(F.xxhash64("page_id"), F.col("shares")))
+    read = through(source.mapInArrow(pages_of, "page_id long, url string, blocks array<string>, marks array<boolean>"), f"{folder}/pages")
+    hosted = read.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)))
+    hosts = hosted.groupBy("host").agg(F.ceil(F.count("*") / share).alias("shares"))
+    dealt = hosted.join(hosts, "host").withColumn("share", F.pmod(F.xxhash64("page_id"), F.col("shares")))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("page_id", "ascending")])
-        texts = unique_runs(list(zip(t.column("page_id").to_pylist(), t.column("blocks").to_pylist(), strict=True)))
+        texts = unique_runs(list(zip(t.column("page_id").to_pylist(), t.column("blocks").to_pylist(), t.column("marks").to_pylist(), strict=True)))
         return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array(texts, pa.string())})
 
     runs = dealt.groupBy("host", "share").applyInArrow(run, "page_id long, url string, text string")
-    return marked.unionByName(runs.select(*columns))
+    return runs.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -143,6 +143,13 @@ def test_html(spark):
     assert extract_text(pages(spark)).count() == 9 and extract_text(pages(spark, True)).count() == 0
 
 
+def test_html_marked_pages_reach_the_host(spark):
+    menu = "<p>menu one two three four five six</p>"
+    rows = [(1, "http://a.b/1", f"{menu}<article><p>said by both pages in their own articles</p></article>"), (2, "http://a.b/2", f"{menu}<article><p>said by both pages in their own articles</p></article><p>printed only here</p>"), (3, "http://a.b/3", f"{menu}<p>alone on this page</p>")]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "said by both pages in their own articles", 2: "said by both pages in their own articles\nprinted only here", 3: "alone on this page"}
+
+
 def test_warc(spark):
     import base64
 
