@@ -6,27 +6,33 @@ menus, headers, footers, sidebars, notices, adverts, forms, comments and the lik
 token streams of all its pages are put together, a suffix array finds token strings
 that distinct pages share, blocks that these cover are boilerplate, and the unique
 runs are kept. Markup only protects: a block within a marked article stays though
-other pages repeat it. A host's pages are dealt out in shares of about ``share``
-pages, so a host with most of the pages is many tasks.
+other pages repeat it. Pages are packed into blocks whatever their host; blocks
+exchange hashes of their distinct strings, so a string counts over its whole host,
+however large, and no host fills a task.
 
-A null or empty html gives an empty text. A null url is a host of its own. Repeated
-rows (pages with the same id) are one page to the suffix array. Extra columns are
-ignored; an empty table gives an empty result.
+A null or empty html gives an empty text. A null url is a host of its own. Rows with
+equal ids or equal texts are one page when a string's pages are counted, so exact
+copies of a page do not lose their text. Extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitempo.llm.spaces import shared_folder, through
-from bitempo.llm.suffixes import Suffixes
+from bitempo.llm import blocks as B
+from bitempo.llm import hashing as H
+from bitempo.llm.spaces import partitions, shared_folder, tidied
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|math|select|title|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
@@ -43,6 +49,7 @@ ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner
 MAIN_ROLES = frozenset(["main", "article"])
 MAIN_WORDS = frozenset("article content main post story entry".split())
 WORDS = re.compile(r"[a-z0-9]+")
+HOST = re.compile(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)")
 
 
 def place(name: str, attributes: str, inside: int) -> int:
@@ -131,62 +138,169 @@ def read_page(page: str) -> tuple[list[str], list[str]]:
 
 
 def pages_of(batches) -> Iterator[pa.RecordBatch]:
+    """(page_id, url, text, marks): a line of text for each block, and for each line whether it stands in the marked article."""
     for b in batches:
         read = [read_blocks(raw or "") for raw in b.column(2).to_pylist()]
-        texts, marks = [[x for x, _ in r] for r in read], [[m for _, m in r] for r in read]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.bool_()))], ["page_id", "url", "blocks", "marks"])
-
-
-def unique_runs(pages: list[tuple[int, list[str], list[bool]]], least: int = 6) -> list[str]:
-    """Text of each page (id, blocks, whether each is marked) without the unmarked blocks that token strings shared by distinct pages cover."""
-    number: dict[str, int] = {}
-    stream, owner, block, starts, base = [], [], [], [], 0
-    ids = {p: i for i, p in enumerate(dict.fromkeys(p for p, _, _ in pages))}
-    for page, blocks, _ in pages:
-        first = len(stream)
-        for k, line in enumerate(blocks):
-            for w in line.split():
-                stream.append(number.setdefault(w, len(number)))
-                owner.append(ids[page])
-                block.append(base + k)
-        base += len(blocks)
-        starts += range(first, len(stream) - least + 1)
-    if not stream:
-        return ["" for _ in pages]
-    at = np.array(starts, np.int64)
-    own = np.array(owner, np.int64)
-    covered = np.zeros(len(stream) + 1, np.int64)
-    if len(at):
-        kind, n = Suffixes(np.array(stream, np.int64)).classes(at, np.zeros(len(at), np.int64), least)
-        low, high = np.full(n, len(ids), np.int64), np.full(n, -1, np.int64)
-        np.minimum.at(low, kind, own[at])
-        np.maximum.at(high, kind, own[at])
-        shared = at[(low != high)[kind]]
-        np.add.at(covered, shared, 1)
-        np.add.at(covered, shared + least, -1)
-    hit = np.cumsum(covered)[:-1] > 0
-    total, gone = np.bincount(block, minlength=base), np.bincount(block, weights=hit, minlength=base)
-    out, base = [], 0
-    for _, blocks, marks in pages:
-        keep = (2 * gone[base : base + len(blocks)] < total[base : base + len(blocks)]) | np.array(marks, bool)
-        out.append("\n".join(x for x, k in zip(blocks, keep, strict=True) if k))
-        base += len(blocks)
+        texts, marks = ["\n".join(x for x, _ in r) for r in read], ["".join("01"[m] for _, m in r) for r in read]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(marks, pa.string())], ["page_id", "url", "text", "marks"])
+
+
+def host_of(url: str | None) -> str:
+    m = HOST.match(url or "")
+    return m[1].lower() if m else ""
+
+
+def hash_of(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def suffix_ranks(stream: np.ndarray, length: int) -> np.ndarray:
+    """Rank of each position's suffix by its first `length` tokens, by prefix doubling: equal ranks are equal strings. The last length - 1 positions have none."""
+    rank, known = np.unique(stream, return_inverse=True)[1].astype(np.int64), 1
+    while known < length and len(rank):
+        step = min(known, length - known)
+        n = len(rank) - step
+        rank = np.unique(rank[:n] * (int(rank.max()) + 1) + rank[step : step + n], return_inverse=True)[1].astype(np.int64)
+        known += step
+    return rank
+
+
+class Streams:
+    """Token streams of a block's pages, the same each time they are read.
+
+    A string is `least` tokens of a page; strings of different hosts differ. Two rows
+    are the same page if their page ids or their texts are equal.
+    """
+
+    def __init__(self, table: pa.Table, least: int):
+        self.table, self.least = table, least
+        ids, urls, texts = (table.column(c).to_pylist() for c in ("page_id", "url", "text"))
+        self.lines = [t.split("\n") if t else [] for t in texts]
+        self.sums = np.array([hash_of(t) for t in texts], np.uint64)
+        # a page without an id is known by its text alone
+        self.ids = np.array([hash_of(f"null {s}") if i is None else hash_of(str(i)) for i, s in zip(ids, self.sums.tolist(), strict=True)], np.uint64)
+        hosts = np.array([hash_of(host_of(u)) for u in urls], np.uint64)
+        number: dict[str, int] = {}
+        stream, sizes = [], []
+        for lines in self.lines:
+            for line in lines:
+                words = line.split()
+                stream += [number.setdefault(w, len(number)) for w in words]
+                sizes.append(len(words))
+        self.size = np.array(sizes, np.int64)
+        per_page = np.array([len(x) for x in self.lines], np.int64)
+        self.cuts = np.concatenate([[0], np.cumsum(per_page)])
+        ends = np.concatenate([[0], np.cumsum(self.size)])[self.cuts]
+        owner = np.repeat(np.arange(len(self.lines)), np.diff(ends))
+        n = max(0, len(stream) - least + 1)
+        self.at = np.flatnonzero(np.arange(n) + least <= ends[1:][owner[:n]])
+        self.row = owner[self.at]
+        rank = suffix_ranks(np.array(stream, np.int64), least)[self.at] if n else np.zeros(0, np.int64)
+        host = np.unique(hosts, return_inverse=True)[1][self.row]
+        _, first, kind = np.unique(rank * (len(hosts) + 1) + host, return_index=True, return_inverse=True)
+        words = np.array([hash_of(w) for w in number], np.uint64)
+        spots = self.at[first]
+        h = H.mix(hosts[self.row[first]])
+        for j in range(least):
+            h = H.mix(h + words[np.array(stream, np.int64)[spots + j]] * np.uint64(2 * j + 3)) if len(spots) else h
+        self.hashes, place = np.unique(h, return_inverse=True)
+        self.kind = place[kind]
+
+    def carriers(self) -> tuple[np.ndarray, np.ndarray]:
+        """A row with each string; bit 0: rows with it have different ids, bit 1: different texts."""
+        n = len(self.hashes)
+        first = np.zeros(n, np.int64)
+        first[self.kind[::-1]] = self.row[::-1]
+        flags = np.zeros(n, np.uint8)
+        base = first[self.kind]
+        for bit, x in enumerate((self.ids, self.sums)):
+            flags[self.kind[x[self.row] != x[base]]] |= np.uint8(1 << bit)
+        return first, flags
+
+    def kept(self, shared: np.ndarray) -> list[str]:
+        """Each page's text without the unmarked lines that shared strings cover."""
+        total = int(self.size.sum())
+        edge = np.zeros(total + 1, np.int64)
+        hits = self.at[shared[self.kind]] if len(self.kind) else self.at
+        np.add.at(edge, hits, 1)
+        np.add.at(edge, hits + self.least, -1)
+        sums = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:-1] > 0)])
+        ends = np.concatenate([[0], np.cumsum(self.size)])
+        stay = 2 * (sums[ends[1:]] - sums[ends[:-1]]) < self.size
+        marked = np.frombuffer("".join(self.table.column("marks").to_pylist()).encode(), np.uint8) == ord("1")
+        stay |= marked
+        return ["\n".join(x for x, k in zip(lines, stay[a:].tolist(), strict=False) if k) for lines, a in zip(self.lines, self.cuts.tolist(), strict=False)]
+
+
+def send_strings(streams: Streams, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, strings) for each range of the ascending string hashes: hashes, rows, flags, and each row's id and text hash."""
+    first, flags = streams.carriers()
+    bounds = B.ranges(streams.hashes, parts)
+    z = zstandard.ZstdCompressor(level=1)
+    for p in range(parts):
+        a, b = int(bounds[p]), int(bounds[p + 1])
+        rows, index = np.unique(first[a:b], return_inverse=True)
+        raw = [B.squeeze(streams.hashes[a:b])] + [z.compress(np.ascontiguousarray(x).tobytes()) for x in (index.astype("<u4").view(np.uint8).reshape(-1, 4).T, flags[a:b], streams.ids[rows], streams.sums[rows])]
+        yield p, pickle.dumps(raw)
+
+
+def shared_strings(rows: list[dict]) -> list[bytes]:
+    """For each row's strings, as bits, whether rows that differ in id and in text have them."""
+    hashes, flags, ids, sums = [], [], [], []
+    d = zstandard.ZstdDecompressor()
+    for r in rows:
+        raw = pickle.loads(r["strings"])
+        h = B.spread(raw[0])
+        index, flag, i, s = (d.decompress(x) for x in raw[1:])
+        at = np.ascontiguousarray(np.frombuffer(index, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+        hashes.append(h)
+        flags.append(np.frombuffer(flag, np.uint8))
+        ids.append(np.frombuffer(i, np.uint64)[at])
+        sums.append(np.frombuffer(s, np.uint64)[at])
+    h, flag, i, s = (np.concatenate(x) for x in (hashes, flags, ids, sums))
+    kinds, first, kind = np.unique(h, return_index=True, return_inverse=True)
+    found = np.zeros(len(kinds), np.uint8)
+    for bit, x in enumerate((i, s)):
+        found[kind[(x != x[first][kind]) | (flag >> bit & 1 == 1)]] |= np.uint8(1 << bit)
+    cuts = np.cumsum([len(x) for x in hashes])[:-1]
+    z = zstandard.ZstdCompressor(level=1)
+    return [z.compress(np.packbits(x).tobytes()) if len(x) else b"" for x in np.split(found[kind] == 3, cuts)]
+
+
+def shared_of(answers: list[dict], streams: Streams, parts: int) -> np.ndarray:
+    """Whether each of the block's strings is shared, from its answers."""
+    bounds, out = B.ranges(streams.hashes, parts), np.zeros(len(streams.hashes), bool)
+    for x in answers:
+        if x["reply"]:
+            a, b = int(bounds[x["part"]]), int(bounds[x["part"] + 1])
+            out[a:b] = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(x["reply"]), np.uint8), count=b - a)
     return out
 
 
-def extract_text(pages: DataFrame, share: int = 400) -> DataFrame:
+def extract_text(pages: DataFrame, least: int = 6, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """(page_id, url, text, n_chars) of each page."""
-    folder = shared_folder(pages.sparkSession)
+    spark = pages.sparkSession
+    folder, parts = shared_folder(spark), partitions(spark)
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    read = through(source.mapInArrow(pages_of, "page_id long, url string, blocks array<string>, marks array<boolean>"), f"{folder}/pages")
-    hosted = read.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)))
-    hosts = hosted.groupBy("host").agg(F.ceil(F.count("*") / share).alias("shares"))
-    dealt = hosted.join(hosts, "host").withColumn("share", F.pmod(F.xxhash64("page_id"), F.col("shares")))
+    read = source.mapInArrow(tidied(pages_of), "page_id long, url string, text string, marks string")
+    blocks = B.pack(read, f"{folder}/pages", "page_id", "text", block_bytes)
+
+    def send(batches):
+        for b in batches:
+            for block, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                rows = list(send_strings(Streams(B.from_ipc(raw.as_buffer()), least), parts))
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "part", "strings"])
+
+    sent = blocks.select("block", "rows").mapInArrow(tidied(send), "block long, part int, strings binary")
+    shared = B.exchange(sent, shared_strings, f"{folder}/strings", [])
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("page_id", "ascending")])
-        texts = unique_runs(list(zip(t.column("page_id").to_pylist(), t.column("blocks").to_pylist(), t.column("marks").to_pylist(), strict=True)))
-        return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array(texts, pa.string())})
+    def finish(batches):
+        for b in batches:
+            for raw, answers in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+                streams = Streams(B.from_ipc(raw.as_buffer()), least)
+                texts = pa.array(streams.kept(shared_of(answers or [], streams, parts)), pa.string())
+                t = streams.table
+                yield from pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": texts}).combine_chunks().to_batches()
 
-    runs = dealt.groupBy("host", "share").applyInArrow(run, "page_id long, url string, text string")
+    runs = B.with_answers(blocks, shared).mapInArrow(tidied(finish), "page_id long, url string, text string")
     return runs.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

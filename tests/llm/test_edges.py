@@ -150,6 +150,22 @@ def test_html_marked_pages_reach_the_host(spark):
     assert got == {1: "said by both pages in their own articles", 2: "said by both pages in their own articles\nprinted only here", 3: "alone on this page"}
 
 
+def test_html_counts_over_the_whole_host(spark):
+    """Each notice is on two pages in different blocks; copies of a page keep their text; hosts do not mix."""
+    notice = lambda i: " ".join(f"notice{i}x{j}" for j in range(8))
+    own = lambda i: " ".join(f"own{i}x{j}" for j in range(9))
+    rows = [(i, f"http://a.b/{i}", f"<p>{notice(i % 40)}</p><p>{own(i)}</p>") for i in range(80)]
+    rows += [(i, f"http://copies.b/{i}", f"<p>{own('same')}</p>") for i in (100, 101)] + [(None, "http://copies.b/n", f"<p>{own('same')}</p>")]
+    rows += [(200, "http://c.d/1", f"<p>{notice('host')}</p>"), (201, "http://e.f/1", f"<p>{notice('host')}</p><p>more</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    for size in (1, 1000, 8 << 20):
+        got = {r.url: r.text for r in extract_text(df, block_bytes=size).collect()}
+        assert len(got) == len(rows)
+        assert all(got[f"http://a.b/{i}"] == own(i) for i in range(80))
+        assert {got[f"http://copies.b/{x}"] for x in (100, 101, "n")} == {own("same")}
+        assert got["http://c.d/1"] == notice("host") and got["http://e.f/1"] == notice("host") + "\nmore"
+
+
 def test_warc(spark):
     import base64
 
