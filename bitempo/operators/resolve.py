@@ -114,3 +114,36 @@ def resolve(records: DataFrame, ruleset: Ruleset) -> tuple[DataFrame, DataFrame]
     side = lambda c: clusters.select(F.col("id").alias(c), F.col("cluster").alias(f"c{c}"))
     review = pairs.where("decision = 'review'").join(side("a"), "a").join(side("b"), "b").where("ca <> cb").select("a", "b", "score")
     return clusters, review
+
+
+def copies(records: DataFrame, ruleset: Ruleset) -> tuple[DataFrame, DataFrame]:
+    """((id, rep), (id, record, copies, decision)): each record's representative, the smallest id with an equal record; and these with the number of records each stands for and the decision on a pair of them (null where they share no key).
+
+    Equal records have equal keys and scores, so only representatives need be compared.
+    """
+    said = records.withColumn("said", F.to_json(F.array_sort(F.map_entries("record"))))
+    reps = said.groupBy("said").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    members = cut(said.join(reps, "said").select("id", "rep", "record", "copies"))
+    meet = F.size(F.concat(*[b.keys() for b in ruleset.blocking])) > 0 if ruleset.blocking else F.lit(True)
+    own = members.where("id = rep").withColumn("score", score(ruleset.rules, "record", "record"))
+    return members.select("id", "rep"), own.select("id", "record", "copies", F.when(meet, decide(ruleset)).alias("decision"))
+
+
+def resolve_copies(records: DataFrame, ruleset: Ruleset) -> DataFrame:
+    """(id, cluster) of every record, as resolve gives it, from comparisons of distinct records alone."""
+    members, reps = copies(records, ruleset)
+    clusters = resolve(reps.select("id", "record"), ruleset)[0]
+    several = clusters.groupBy("cluster").agg(F.count("*").alias("reps"))
+    known = clusters.join(several, "cluster").join(reps.select("id", "decision"), "id").select(F.col("id").alias("rep"), "cluster", "reps", "decision")
+    # copies that do not match each other are still united by what their representative matches
+    united = (F.col("reps") > 1) | F.coalesce(F.col("decision") == "match", F.lit(False))
+    return members.join(known, "rep").select("id", F.when(united, F.col("cluster")).otherwise(F.col("id")).alias("cluster"))
+
+
+def weighted_bands(records: DataFrame, ruleset: Ruleset) -> DataFrame:
+    """(decision, pairs): how many candidate pairs of all records get each decision, from comparisons of distinct records alone."""
+    _, reps = copies(records, ruleset)
+    n = lambda c: reps.select(F.col("id").alias(c), F.col("copies").alias(f"n{c}"))
+    apart = scored_pairs(reps.select("id", "record"), ruleset).join(n("a"), "a").join(n("b"), "b").select("decision", (F.col("na") * F.col("nb")).alias("pairs"))
+    alike = reps.where("decision is not null and copies > 1").select("decision", (F.col("copies") * (F.col("copies") - 1) / 2).cast("long").alias("pairs"))
+    return apart.unionAll(alike).groupBy("decision").agg(F.sum("pairs").alias("pairs"))

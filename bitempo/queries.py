@@ -380,6 +380,16 @@ def resolve_clusters(spark, d):
     return resolve.resolve(views.name_records(spark, d), RULES)[0]
 
 
+@query(CLUSTERS + " SELECT p.p_partkey AS id, l.cluster FROM part p JOIN n ON n.name = p.p_name JOIN l ON l.id = n.id")
+def resolve_members(spark, d):
+    return resolve.resolve_copies(views.part_names(spark, d), RULES)
+
+
+@query(f"WITH {PAIRS}, k AS (SELECT min(p_partkey) AS id, count(*) AS c FROM part GROUP BY p_name), w AS (SELECT {BAND} AS decision, x.c * y.c AS pairs FROM s JOIN k x ON x.id = s.a JOIN k y ON y.id = s.b UNION ALL SELECT 'match', c * (c - 1) // 2 FROM k WHERE c > 1) SELECT decision, CAST(sum(pairs) AS BIGINT) AS pairs FROM w GROUP BY 1")
+def decide_bands_weighted(spark, d):
+    return resolve.weighted_bands(views.part_names(spark, d), RULES)
+
+
 @query(CLUSTERS + f" SELECT s.a, s.b, round(s.score, 6) AS score FROM s JOIN l x ON x.id = s.a JOIN l y ON y.id = s.b WHERE {BAND} = 'review' AND x.cluster <> y.cluster")
 def resolve_review_band(spark, d):
     return resolve.resolve(views.name_records(spark, d), RULES)[1].withColumn("score", F.round("score", 6))
@@ -387,12 +397,12 @@ def resolve_review_band(spark, d):
 
 @query()
 def remember_incremental(spark, d):
-    return remember.remember(views.name_records(spark, d), RULES)[0]
+    return remember.remember(views.part_names(spark, d), RULES)[0]
 
 
 @query()
 def remember_reviews(spark, d):
-    return remember.remember(views.name_records(spark, d), RULES)[1]
+    return remember.remember(views.part_names(spark, d), RULES)[1]
 
 
 # writes

@@ -68,6 +68,11 @@ def name_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id")).select("id", F.create_map(F.lit("name"), F.col("p_name")).alias("record"))
 
 
+def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, record): each part with its name as the record."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.create_map(F.lit("name"), F.col("p_name")).alias("record"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(assertion_id, entity, session, vector)."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("assertion_id"), F.col("label").alias("entity"), (F.col("vec_id") % 3).alias("session"), F.col("embedding").alias("vector"))
