@@ -25,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitempo.llm.spaces import shared_folder, through
+from bitempo.llm.spaces import ROW, numbered, shared_folder, through
 
 BITS = 64
 
@@ -134,6 +134,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that contain no item, with all their columns. A null id stays only where no document without an id contains one."""
-    leaks = contaminated(docs, benchmark, key, text, **options).select(F.col(key).alias("__leak")).distinct()
-    return docs.join(leaks, F.col(key).eqNullSafe(F.col("__leak")), "left_anti")
+    """The rows whose own text contains no item, with all their columns. The key is a column like others: rows that share one, or have none, go or stay on their own."""
+    rows = numbered(docs)
+    leaks = contaminated(rows, benchmark, ROW, text, **options).select(ROW).distinct()
+    return rows.join(leaks, ROW, "left_anti").select(*docs.columns)

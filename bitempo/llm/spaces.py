@@ -31,6 +31,15 @@ def through(df: DataFrame, path: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A row's number, for rows whose own ids may be null or repeated.
+ROW = "__row"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df written and read back with a number for each row, which stays the same each time it is read."""
+    return through(df.withColumn(ROW, F.monotonically_increasing_id()), f"{shared_folder(df.sparkSession)}/rows")
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that nothing reads any more."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -15,7 +15,7 @@ from bitempo.llm.op06_ngram_join import ngram_join
 from bitempo.llm.op07_suffix_dedup import remove_repeats
 from bitempo.llm.op09_quality import resample
 from bitempo.llm.queries import byte_bpe, table
-from bitempo.llm.spaces import shared_folder
+from bitempo.llm.spaces import ROW, numbered, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +24,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id. Documents without an id stay."""
-    gone = ngram_join(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Of each group of linked rows the one with the smallest id, or of several such the first; rows without an id come last."""
+    rows = numbered(docs)
+    linked = ngram_join(rows, ROW).where("component_id is not null").select(ROW, "component_id")
+    groups = linked.join(linked.where(f"component_id <> {ROW}").select("component_id").distinct(), "component_id")
+    known = groups.join(rows.select(ROW, "doc_id"), ROW)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW))
+    kept = known.groupBy("component_id").agg(first.alias("kept")).select(F.col(f"kept.{ROW}").alias(ROW))
+    return rows.join(groups.select(ROW).join(kept, ROW, "left_anti"), ROW, "left_anti").select(*docs.columns)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -110,6 +110,19 @@ def test_decontaminate(spark):
     assert decontaminate(docs(spark), bench.where("false")).count() == 9
 
 
+def test_rows_are_filtered_by_row(spark):
+    """Rows that share an id, or have none, go or stay on their own."""
+    clean = [f"clean {i} " + " ".join(f"c{i}w{j}" for j in range(12)) for i in range(4)]
+    leak = f"before {LONG} after"
+    rows = [(None, clean[0]), (None, leak), (None, clean[1]), (7, clean[2]), (7, leak), (8, clean[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, LONG)], "item_id long, text string")
+    assert sorted(r.text for r in decontaminate(df, bench).collect()) == sorted(clean)
+    rows = [(None, LONG), (None, LONG), (None, clean[0]), (None, clean[0]), (1, clean[1]), (2, clean[1]), (2, clean[2]), (3, clean[3]), (3, clean[3]), (9, LONG)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert by_id(got) == by_id([(9, LONG), (None, clean[0]), (1, clean[1]), (2, clean[2]), (3, clean[3])])
+
+
 def test_quality(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert resample(docs(spark), none).count() == 9
