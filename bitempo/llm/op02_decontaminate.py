@@ -12,8 +12,8 @@ window looks up its own parts: that finds all items within the radius. Candidate
 within the radius are verified by exact weighted Jaccard similarity of their shingles.
 
 Items shorter than a shingle are one shingle, and are looked for as such. Items or
-documents without words, or null, match nothing. A null id comes back as null. Rows
-that repeat are reported once. Extra columns are ignored; an empty table on either
+documents without words, or null, match nothing. A null id, of a document or an
+item, comes back as null, for benchmarks of any size. Rows that repeat are reported once. Extra columns are ignored; an empty table on either
 side gives no rows.
 """
 
@@ -72,7 +72,7 @@ def similarity(a: str, b: str) -> Column:
 
 
 def near_parts(items: DataFrame, radius: int, blocks: int) -> DataFrame:
-    """(n, i, value, item_id, ...) for each part i of an item's fingerprint and each value that near."""
+    """(no, n, i, value, ...) for each part i of an item's fingerprint and each value that near."""
     wide = BITS // blocks
     masks = [sum(1 << b for b in bits) for k in range(radius // blocks + 1) for bits in combinations(range(wide), k)]
     listed = items.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("mask", F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks])))
@@ -90,14 +90,15 @@ def item_table(benchmark: DataFrame, item: str, text: str, size: int) -> DataFra
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 5, least: float = 0.8, radius: int = 23, blocks: int = 8, literal_grams: int = 100_000, broadcast_rows: int = 500_000) -> DataFrame:
     """(key, item_id, start, similarity): each document's best window for each item that it contains."""
     folder = shared_folder(docs.sparkSession)
-    items = through(item_table(benchmark, item, item_text, size).withColumn("k", F.least(F.lit(size), "n")), f"{folder}/items")
+    # a window and an item each get a number where they are written: ids may be null or repeated
+    items = through(item_table(benchmark, item, item_text, size).withColumn("k", F.least(F.lit(size), "n")).withColumn("no", F.monotonically_increasing_id()), f"{folder}/items")
     placed = items.withColumn("word_hashes", F.transform("item_words", lambda w: F.xxhash64(w)))
     sizes = sorted(r[0] for r in items.select("k").distinct().collect())  # at most `size` values
     rows = docs.select(F.col(key).alias("key"), words_of(F.col(text)).alias("words"))
     if not sizes:
         return rows.select(F.col("key").alias(key), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start"), F.lit(0.0).alias("similarity")).where("false")
     hashed = rows.withColumn("word_hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    windows = []
+    windows, stable = [], None
     for k in sizes:
         spots = placed.where(F.col("k") == k).select("n", F.posexplode(grams("word_hashes", k)).alias("offset", "gram")).distinct()
         known = spots.select("gram").distinct()
@@ -110,8 +111,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
             kept = hits.withColumn("tick", F.monotonically_increasing_id()).where((F.size("hits") > 0) & (F.col("tick") >= 0))
             found = kept.select("key", "words", F.explode("hits").alias("hit")).select("key", "words", "hit.at", "hit.gram")
         else:
-            spread = hashed.select("key", F.posexplode(grams("word_hashes", k)).alias("at", "gram"))
-            found = spread.join(known, "gram").join(rows, "key")
+            if stable is None:
+                stable = through(rows.withColumn("row", F.monotonically_increasing_id()), f"{folder}/rows")
+            spread = stable.withColumn("word_hashes", F.transform("words", lambda w: F.xxhash64(w))).select("row", F.posexplode(grams("word_hashes", k)).alias("at", "gram"))
+            found = spread.join(known, "gram").join(stable, "row").drop("row")
         found = found.join(F.broadcast(spots) if few else spots, "gram")
         start = F.col("at") - F.col("offset")
         found = found.withColumn("start", F.greatest(F.lit(0), F.least(start, F.size("words") - F.col("n"))))
@@ -119,16 +122,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     window = reduce(DataFrame.unionAll, windows).dropDuplicates(["key", "start", "n", "window"])
     window = window.withColumn("shingles", shingles("window", size)).withColumn("hashes", F.transform("shingles", lambda s: F.xxhash64(s)))
     # written, so that no filter above can be moved below the fingerprints and compute them for every hit
-    window = through(window.select("key", "start", "n", "shingles", fingerprint("hashes").alias("own")), f"{folder}/windows")
-    parts = near_parts(items.select("item_id", "n", "print"), radius, blocks)
+    window = through(window.select("key", "start", "n", "shingles", fingerprint("hashes").alias("own"), F.monotonically_increasing_id().alias("window")), f"{folder}/windows")
+    parts = near_parts(items.select("no", "n", "print"), radius, blocks)
     few = parts.limit(broadcast_rows + 1).count() <= broadcast_rows
-    looked = window.select("key", "start", "n", "own").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("value", part(F.col("own"), F.col("i"), blocks))
+    looked = window.select("window", "n", "own").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("value", part(F.col("own"), F.col("i"), blocks))
     near = looked.join(F.broadcast(parts) if few else parts, ["n", "i", "value"]).where(F.bit_count(F.col("own").bitwiseXOR(F.col("print"))) <= radius)
     # a pair within the radius can meet in several parts
-    met = near.select("key", "start", "n", "item_id").distinct()
-    own = window.select(F.col("key").alias("key2"), F.col("start").alias("start2"), F.col("n").alias("n2"), "shingles")
-    full = met.join(own, F.col("key").eqNullSafe(F.col("key2")) & (F.col("start") == F.col("start2")) & (F.col("n") == F.col("n2")))
-    pairs = full.join(items.select("item_id", "item_shingles"), "item_id").withColumn("similarity", similarity("shingles", "item_shingles")).where(F.col("similarity") >= least)
+    met = near.select("window", "no").distinct()
+    full = met.join(window.select("window", "key", "start", "shingles"), "window")
+    pairs = full.join(items.select("no", "item_id", "item_shingles"), "no").withColumn("similarity", similarity("shingles", "item_shingles")).where(F.col("similarity") >= least)
     best = pairs.groupBy("key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     return best.select(F.col("key").alias(key), "item_id", (-F.col("best.back")).alias("start"), F.round("best.similarity", 9).alias("similarity"))
 

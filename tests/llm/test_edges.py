@@ -110,6 +110,15 @@ def test_decontaminate(spark):
     assert decontaminate(docs(spark), bench.where("false")).count() == 9
 
 
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_null_ids_at_any_benchmark_size(spark, most):
+    bench = spark.createDataFrame([(1, "Eight, nine ten. eleven twelve thirteen!"), (None, "a text without an id"), (None, "three four five six seven eight"), (4, "without an")], "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.start) for r in contaminated(docs(spark), bench, literal_grams=most).collect()), key=str)
+    assert got == sorted([(1, 1, 7), (2, 1, 7), (1, None, 2), (2, None, 2), (None, None, 0), (None, 4, 2)], key=str)
+    kept = decontaminate(docs(spark), bench.where("item_id is null"), literal_grams=most).collect()
+    assert sorted(r.doc_id for r in kept) == [3, 4, 5, 6, 7]
+
+
 def test_rows_are_filtered_by_row(spark):
     """Rows that share an id, or have none, go or stay on their own."""
     clean = [f"clean {i} " + " ".join(f"c{i}w{j}" for j in range(12)) for i in range(4)]
