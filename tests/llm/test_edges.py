@@ -119,6 +119,14 @@ def test_null_ids_at_any_benchmark_size(spark, most):
     assert sorted(r.doc_id for r in kept) == [3, 4, 5, 6, 7]
 
 
+def test_long_items_that_end_in_one_repeated_word(spark):
+    n, end = 30, 20
+    items = [[f"i{i}w{j}" for j in range(200)] for i in range(n)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    df = spark.createDataFrame([(i, " ".join(["before", *x[:-end], *["same"] * end, "after"])) for i, x in enumerate(items)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in contaminated(df, bench).collect()} == {(i, i) for i in range(n)}
+
+
 def test_rows_are_filtered_by_row(spark):
     """Rows that share an id, or have none, go or stay on their own."""
     clean = [f"clean {i} " + " ".join(f"c{i}w{j}" for j in range(12)) for i in range(4)]
