@@ -13,7 +13,8 @@ Scores are exact integers; bounds only discard with a margin above rounding erro
 Vectors that are null or hold null or non-finite components take no part, neither as
 queries nor as candidates; shorter vectors count as filled up with zeros. A null id
 takes no part. Rows with a query's own id are not its candidates; other repeated rows
-are candidates each. Extra columns are ignored; an empty table gives an empty result.
+are candidates each. A query that repeats is one; where one id has several vectors,
+each has its own ranks under that id. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -137,6 +138,10 @@ def top_k(df: DataFrame, queries: DataFrame | None = None, k: int = 10, every: i
     folder = shared_folder(spark)
     rows = through(integer_vectors(df, key, vector), f"{folder}/vectors")
     asked = integer_vectors(queries, key, vector) if queries is not None else rows.where(F.pmod("id", F.lit(every)) == 0)
+    # zeros at a vector's end say nothing; a query's number tells apart the vectors of one id
+    filled = F.coalesce(F.array_max(F.transform("v", lambda c, i: F.when(c != 0, i + 1).otherwise(0))), F.lit(0))
+    asked = asked.select("id", F.slice("v", F.lit(1), filled).alias("v")).distinct()
+    asked = through(asked.withColumn("q", F.row_number().over(Window.partitionBy("id").orderBy("v"))), f"{folder}/asked")
     square = F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c * c)
     n, top = rows.agg(F.count("*"), F.max(square)).first()
     m = asked.count()
@@ -149,8 +154,8 @@ def top_k(df: DataFrame, queries: DataFrame | None = None, k: int = 10, every: i
         return pa.table({"share": t.column("share").slice(0, 1), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
     def collect(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("id", "ascending")])
-        return pa.table({"g": t.column("g").slice(0, 1), "asked": pa.array([pickle.dumps((np.asarray(t.column("id")), matrix(t.column("v").combine_chunks())))], pa.binary())})
+        t = t.sort_by([("id", "ascending"), ("q", "ascending")])
+        return pa.table({"g": t.column("g").slice(0, 1), "asked": pa.array([pickle.dumps((np.asarray(t.column("id")), np.asarray(t.column("q")), matrix(t.column("v").combine_chunks())))], pa.binary())})
 
     trees = through(rows.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(shares))).groupBy("share").applyInArrow(build, "share long, tree binary"), f"{folder}/trees")
     blocks = asked.withColumn("g", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups))).groupBy("g").applyInArrow(collect, "g long, asked binary")
@@ -159,12 +164,12 @@ def top_k(df: DataFrame, queries: DataFrame | None = None, k: int = 10, every: i
     def run(batches):
         for b in batches:
             for tree, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                tree, (ids, vectors) = pickle.loads(tree), pickle.loads(asked)
+                tree, (ids, numbers, vectors) = pickle.loads(tree), pickle.loads(asked)
                 wide = tree.vectors.shape[1]
                 vectors = np.pad(vectors, ((0, 0), (0, max(0, wide - vectors.shape[1]))))[:, :wide]
-                out = [(i, v, s) for i, q in zip(ids.tolist(), vectors, strict=True) for s, v in tree.search(q, i, k)[0]]
-                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
+                out = [(i, n, v, s) for i, n, q in zip(ids.tolist(), numbers.tolist(), vectors, strict=True) for s, v in tree.search(q, i, k)[0]]
+                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in range(4)], ["query_id", "q", "vec_id", "score"])
 
-    found = tasks.select("tree", "asked").mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).alias("rank")
+    found = tasks.select("tree", "asked").mapInArrow(run, "query_id long, q long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")).alias("rank")
     return found.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)

@@ -159,6 +159,16 @@ def test_mtree(spark):
     assert top_k(v.where("false")).count() == 0
 
 
+def test_repeated_queries_keep_their_neighbours(spark):
+    rows = [(0, [1.0, 0.0])] * 12 + [(0, [1.0])] + [(i, [i / 32, -i / 32]) for i in range(1, 21)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r["rank"], r.vec_id) for r in top_k(v).collect())
+    assert got == [(r, 21 - r) for r in range(1, 11)]
+    two = spark.createDataFrame(rows + [(0, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    got = sorted((r["rank"], r.vec_id) for r in top_k(two).collect())
+    assert got == sorted([(r, 21 - r) for r in range(1, 11)] + [(r, r) for r in range(1, 11)])
+
+
 def pages(spark, empty=False):
     body = "<html><body><nav>Home</nav><article><h1>T &amp; t</h1><p>one  two<p>three<aside>x</aside><div class='comments'>no</div></article><footer>f</footer>"
     rows = [(3, "http://a.b/x", body, "z"), (1, "http://a.b/y", body, "z"), (2, None, None, "z"), (4, "u", "", "z"), (None, "u", body, "z"), (1, "http://a.b/y", body, "z"), (9, "http://c.d/1", "<p>menu one two three four five six</p><p>real alpha beta</p>", "q"), (10, "http://c.d/2", "<p>menu one two three four five six</p><p>other gamma delta</p>", "q"), (11, "v", "y" * 200_000, "w")]
