@@ -31,13 +31,10 @@ def through(df: DataFrame, path: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: A row's number, for rows whose own ids may be null or repeated.
-ROW = "__row"
-
-
-def numbered(df: DataFrame) -> DataFrame:
-    """df written and read back with a number for each row, which stays the same each time it is read."""
-    return through(df.withColumn(ROW, F.monotonically_increasing_id()), f"{shared_folder(df.sparkSession)}/rows")
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """(df written and read back with a number for each row, which stays the same each time it is read; the number's column)."""
+    row = free_name(df, "row")
+    return through(df.withColumn(row, F.monotonically_increasing_id()), f"{shared_folder(df.sparkSession)}/rows"), row
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -50,11 +47,26 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def bounded_sample(df: DataFrame, by: list[str], n: int, total: int) -> DataFrame:
-    """About the n rows with the smallest hash of `by`, the same for the same table. Rows that cannot be among them are left out where they are read, so no task or driver gets more than some n rows."""
-    share = min(1.0, 4 * n / max(1, total))
-    h = F.xxhash64(*by)
-    return df.where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.pmod(h, F.lit(1 << 30)), *by).limit(n)
+def bounded_sample(df: DataFrame, by: list[str], n: int) -> list:
+    """The n rows with the smallest hash of `by`, of equal ones a single row; the same for the same table.
+
+    Rows that cannot be among them are left out where they are read, and equal ones
+    meet before the shuffle, so neither a task nor the driver gets more than some n
+    rows. Where equal rows leave too few, a larger share of the hashes is read.
+    """
+    h, share = F.pmod(F.xxhash64(*by), F.lit(1 << 30)), min(1.0, 4 * n / max(1, df.count()))
+    while True:
+        rows = df.where(h < int(share * (1 << 30))).dropDuplicates(by).orderBy(h, *by).limit(n).collect()
+        if len(rows) >= n or share >= 1:
+            return rows
+        share = min(1.0, 8 * share)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
 
 
 def tidied(run):
