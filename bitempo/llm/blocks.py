@@ -4,7 +4,9 @@ A table is packed once, without a shuffle, into blocks of bounded size (one bina
 row each). Operators that ask "which of my hashes occur elsewhere?" send, from each
 block, its sorted distinct hashes as one delta-coded row per hash range, and get back
 one small answer row. A hash, however common, is sent once per block, so common
-hashes cannot fill a task.
+hashes cannot fill a task. There are as many ranges as the blocks' bytes ask for, so a
+range has the same size whatever the table's; a block sends nothing to a range that it
+has no hash of, so there are never more rows than hashes.
 """
 
 from __future__ import annotations
@@ -21,10 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitempo.llm.spaces import drop, partitions, through, tidied
+from bitempo.llm import hashing as H
+from bitempo.llm.spaces import partitions, through, tidied
 
 #: Bytes of text in a block, unless one row alone is longer.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
+#: Bytes of text whose hashes make a range.
+RANGE_BYTES = 12 << 20
 BLOCKS = "block long, n_rows long, n_bytes long, rows binary"
 
 
@@ -43,6 +48,7 @@ def pack(df: DataFrame, path: str, key: str, text: str, size: int = BLOCK_BYTES)
     """Write df as blocks at path; rows of a block ascend by key, nulls last. The block table, read back.
 
     It is bucketed by block, so what joins answers to blocks shuffles the answers alone.
+    The catalog forgets it at once; its files stay for as long as the caller leaves them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,22 +83,15 @@ def pack(df: DataFrame, path: str, key: str, text: str, size: int = BLOCK_BYTES)
     name = f"blocks_{uuid.uuid4().hex}"
     packed = df.withColumn(text, F.col(text).cast("string")).mapInArrow(tidied(run), BLOCKS)
     packed.write.option("path", path).bucketBy(partitions(spark), "block").saveAsTable(name)
-    return spark.table(name)
-
-
-def release(blocks: DataFrame, path: str) -> None:
-    """Forget the block table and delete its files."""
-    spark = blocks.sparkSession
-    for t in spark.catalog.listTables():
-        if t.name.startswith("blocks_") and path.rstrip("/") in spark.sql(f"describe formatted {t.name}").where("col_name = 'Location'").first()[1]:
-            spark.sql(f"drop table {t.name}")
-    drop(spark, path)
+    out = spark.table(name)
+    spark.sql(f"drop table {name}")
+    return out
 
 
-def hash_bits(blocks: DataFrame) -> int:
-    """Bits of a hash that the exchange needs: at most one false agreement in 2**18 entries; 64 for the largest inputs."""
+def scale(blocks: DataFrame) -> tuple[int, int]:
+    """(ranges, bits of a hash) that an exchange between the blocks needs: at most one false agreement in 2**18 entries; 64 bits for the largest inputs."""
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 1
-    return min(64, max(40, math.ceil(math.log2(total + 1)) + 18))
+    return max(partitions(blocks.sparkSession), -(-total // RANGE_BYTES)), min(64, max(40, math.ceil(math.log2(total + 1)) + 18))
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -112,7 +111,7 @@ def ranges(hashes: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
 
 
-def exchange(sent: DataFrame, answer: Callable, path: str, columns: list[str], key: str = "part") -> DataFrame:
+def exchange(sent: DataFrame, answer: Callable, path: str) -> DataFrame:
     """One row (block, answers array<struct<part, reply>>) per block, written at path.
 
     sent: (block, part, + binary columns). answer gets, for one part, the list of
@@ -129,13 +128,14 @@ def exchange(sent: DataFrame, answer: Callable, path: str, columns: list[str], k
 
 
 def send_hashes(hashes: np.ndarray, counts: np.ndarray, bits: int, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(part, squeezed hashes, counts) for each hash range of ascending distinct hashes; counts saturate at 255."""
+    """(part, squeezed hashes, counts) for each hash range that has some of the ascending distinct hashes; counts saturate at 255."""
     top = hashes >> np.uint64(64 - bits)
     bounds = ranges(hashes, parts)
     small = np.minimum(counts, 255).astype(np.uint8)
     for p in range(parts):
         a, b = bounds[p], bounds[p + 1]
-        yield p, squeeze(top[a:b]), zstandard.ZstdCompressor(level=1).compress(small[a:b].tobytes())
+        if a < b:
+            yield p, squeeze(top[a:b]), zstandard.ZstdCompressor(level=1).compress(small[a:b].tobytes())
 
 
 HASHES = "block long, part int, hashes binary, counts binary"
@@ -165,19 +165,18 @@ def counts_of(answers: list[dict]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
 
-def shared_counts(blocks: DataFrame, hashes_of: Callable, path: str, columns: list[str]) -> DataFrame:
-    """For each block, how often each of its distinct hashes occurs in all blocks. hashes_of(table) gives (ascending distinct hashes, their counts in the block)."""
-    spark = blocks.sparkSession
-    parts, bits = partitions(spark), hash_bits(blocks)
+def shared_counts(blocks: DataFrame, hashes_of: Callable, path: str, *answers: DataFrame) -> DataFrame:
+    """For each block, how often each of its distinct hashes occurs in all blocks. hashes_of(table, answers...) gives (ascending distinct hashes, their counts in the block); answers are a block's rows of earlier exchanges."""
+    parts, bits = scale(blocks)
 
     def send(batches):
         for b in batches:
-            for block, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                h, c = hashes_of(from_ipc(raw.as_buffer()))
+            for block, raw, *told in zip(b.column(0).to_pylist(), b.column(1), *(c.to_pylist() for c in b.columns[2:]), strict=True):
+                h, c = hashes_of(from_ipc(raw.as_buffer()), *(x or [] for x in told))
                 rows = list(send_hashes(h, c, bits, parts))
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["block", "part", "hashes", "counts"])
 
-    return exchange(blocks.select("block", "rows").mapInArrow(tidied(send), HASHES), total_counts, path, columns)
+    return exchange(with_answers(blocks, *answers).mapInArrow(tidied(send), HASHES), total_counts, path)
 
 
 def with_answers(blocks: DataFrame, *answers: DataFrame) -> DataFrame:
@@ -198,3 +197,36 @@ def strings(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray, np.nd
     raw = raw[off[0] : off[-1]]
     off = off - off[0]
     return raw, off[:-1], off[1:]
+
+
+#: Bytes hashed at a time: their arrays stay in a core's cache.
+STEP = 1 << 17
+BLANK = np.zeros(256, bool)
+BLANK[[32, *range(9, 14)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each word of the texts: maximal runs of bytes other than blank and tab to carriage return, A-Z in lower case."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    solid = ~BLANK[data]
+    edge = np.zeros(n + 1, bool)
+    edge[starts] = True
+    edge[n] = True
+    begin = solid & edge[:n]
+    begin[1:] |= solid[1:] & ~solid[:-1]
+    stop = solid & edge[1:]
+    stop[:-1] |= solid[:-1] & ~solid[1:]
+    a, b = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    out = np.empty(len(a), np.uint64)
+    i = 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(a, a[i] + STEP)))
+        base = a[i]
+        s = H.prefix(LOWER[data[base : b[j - 1]]])
+        out[i:j] = H.mix(H.spans(s, a[i:j] - base, b[i:j] - base) + (b[i:j] - a[i:j]).astype(np.uint64) * H.BASE2)
+        i = j
+    return a, b, out

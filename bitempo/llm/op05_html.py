@@ -3,24 +3,25 @@
 A page's markup is read into blocks of text, each with the place it stands in: within
 menus, headers, footers, sidebars, notices, adverts, forms, comments and the like
 (which never count), within a marked article, or elsewhere. The host decides: the
-token streams of all its pages are put together, a suffix array finds token strings
-that distinct pages share, blocks that these cover are boilerplate, and the unique
-runs are kept. Markup only protects: a block within a marked article stays though
+token streams of all its pages are put together, and token strings that distinct pages
+share are found by the suffixes' names (equal names are equal strings, prefix doubling
+gives them). What these strings cover is boilerplate and goes; the unique runs of a
+block stay. Markup only protects: a block within a marked article stays whole though
 other pages repeat it. Pages are packed into blocks whatever their host; blocks
 exchange hashes of their distinct strings, so a string counts over its whole host,
 however large, and no host fills a task.
 
-A null or empty html gives an empty text. A null url is a host of its own. Rows with
-equal ids or equal texts are one page when a string's pages are counted, so exact
-copies of a page do not lose their text. Extra columns are ignored; an empty table
-gives an empty result.
+A null or empty html gives an empty text; very long pages are read like others. A null
+url is a host of its own. Pages of a host with equal texts are one page when a
+string's pages are counted, so copies of a page do not lose their text; repeated ids
+have no meaning. Words that differ in the case of A-Z alone are the same. Extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html
-import pickle
 import re
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from bitempo.llm import blocks as B
 from bitempo.llm import hashing as H
-from bitempo.llm.spaces import partitions, shared_folder, tidied
+from bitempo.llm.spaces import shared_folder, tidied
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|math|select|title|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
@@ -85,14 +86,14 @@ def read_blocks(page: str) -> list[tuple[str, bool]]:
     def end_block() -> None:
         nonlocal text
         if text:
-            line = " ".join(html.unescape("".join(text)).split())
+            line = " ".join("".join(text).split())
             if line:
                 blocks.append((line, now == 2))
             text = []
 
     for m in TOKEN.finditer(page):
         if now and m.start() > at:
-            text.append(page[at : m.start()])
+            text.append(html.unescape(page[at : m.start()]))
         at = m.end()
         name = m[3]
         if name is None:
@@ -126,7 +127,7 @@ def read_blocks(page: str) -> list[tuple[str, bool]]:
         now = kind
         stack.append((name, now))
     if now and at < len(page):
-        text.append(page[at:])
+        text.append(html.unescape(page[at:]))
     end_block()
     return blocks
 
@@ -150,157 +151,130 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def hash_of(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+def hash_of(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")
 
 
-def suffix_ranks(stream: np.ndarray, length: int) -> np.ndarray:
-    """Rank of each position's suffix by its first `length` tokens, by prefix doubling: equal ranks are equal strings. The last length - 1 positions have none."""
-    rank, known = np.unique(stream, return_inverse=True)[1].astype(np.int64), 1
-    while known < length and len(rank):
+def suffix_names(tokens: np.ndarray, length: int) -> np.ndarray:
+    """A name for each position's suffix, by its first `length` tokens: equal strings have equal names. Prefix doubling: the names of two halves make the name of a whole. The last length - 1 positions have none."""
+    name, known = tokens, 1
+    while known < length and len(name):
         step = min(known, length - known)
-        n = len(rank) - step
-        rank = np.unique(rank[:n] * (int(rank.max()) + 1) + rank[step : step + n], return_inverse=True)[1].astype(np.int64)
+        n = max(0, len(name) - step)
+        name = H.mix(name[:n] * H.BASE + name[step : step + n] + np.uint64(known))
         known += step
-    return rank
+    return name
 
 
-class Streams:
-    """Token streams of a block's pages, the same each time they are read.
+def page_hashes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each row's host, and of its host and text."""
+    data, starts, ends = B.strings(table, "text")
+    raw = data.tobytes()
+    hosts = np.array([hash_of(host_of(u).encode("utf-8", "surrogatepass")) for u in table.column("url").to_pylist()], np.uint64)
+    sums = np.array([hash_of(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+    return hosts, H.mix(hosts * H.BASE2 + sums)
+
 
-    A string is `least` tokens of a page; strings of different hosts differ. Two rows
-    are the same page if their page ids or their texts are equal.
-    """
+class Streams:
+    """Token streams of a block's pages, the same each time they are read. A string is `least` tokens of a page; strings of different hosts differ."""
 
     def __init__(self, table: pa.Table, least: int):
         self.table, self.least = table, least
-        ids, urls, texts = (table.column(c).to_pylist() for c in ("page_id", "url", "text"))
-        self.lines = [t.split("\n") if t else [] for t in texts]
-        self.sums = np.array([hash_of(t) for t in texts], np.uint64)
-        # a page without an id is known by its text alone
-        self.ids = np.array([hash_of(f"null {s}") if i is None else hash_of(str(i)) for i, s in zip(ids, self.sums.tolist(), strict=True)], np.uint64)
-        hosts = np.array([hash_of(host_of(u)) for u in urls], np.uint64)
-        number: dict[str, int] = {}
-        stream, sizes = [], []
-        for lines in self.lines:
-            for line in lines:
-                words = line.split()
-                stream += [number.setdefault(w, len(number)) for w in words]
-                sizes.append(len(words))
-        self.size = np.array(sizes, np.int64)
-        per_page = np.array([len(x) for x in self.lines], np.int64)
-        self.cuts = np.concatenate([[0], np.cumsum(per_page)])
-        ends = np.concatenate([[0], np.cumsum(self.size)])[self.cuts]
-        owner = np.repeat(np.arange(len(self.lines)), np.diff(ends))
-        n = max(0, len(stream) - least + 1)
-        self.at = np.flatnonzero(np.arange(n) + least <= ends[1:][owner[:n]])
-        self.row = owner[self.at]
-        rank = suffix_ranks(np.array(stream, np.int64), least)[self.at] if n else np.zeros(0, np.int64)
-        host = np.unique(hosts, return_inverse=True)[1][self.row]
-        _, first, kind = np.unique(rank * (len(hosts) + 1) + host, return_index=True, return_inverse=True)
-        words = np.array([hash_of(w) for w in number], np.uint64)
-        spots = self.at[first]
-        h = H.mix(hosts[self.row[first]])
-        for j in range(least):
-            h = H.mix(h + words[np.array(stream, np.int64)[spots + j]] * np.uint64(2 * j + 3)) if len(spots) else h
-        self.hashes, place = np.unique(h, return_inverse=True)
-        self.kind = place[kind]
-
-    def carriers(self) -> tuple[np.ndarray, np.ndarray]:
-        """A row with each string; bit 0: rows with it have different ids, bit 1: different texts."""
-        n = len(self.hashes)
-        first = np.zeros(n, np.int64)
-        first[self.kind[::-1]] = self.row[::-1]
-        flags = np.zeros(n, np.uint8)
-        base = first[self.kind]
-        for bit, x in enumerate((self.ids, self.sums)):
-            flags[self.kind[x[self.row] != x[base]]] |= np.uint8(1 << bit)
-        return first, flags
-
-    def kept(self, shared: np.ndarray) -> list[str]:
-        """Each page's text without the unmarked lines that shared strings cover."""
-        total = int(self.size.sum())
-        edge = np.zeros(total + 1, np.int64)
-        hits = self.at[shared[self.kind]] if len(self.kind) else self.at
+        self.data, self.starts, self.ends = B.strings(table, "text")
+        self.a, self.b, words = B.words(self.data, self.starts, self.ends)
+        self.row = np.searchsorted(self.ends, self.a, side="right")
+        hosts, self.pages = page_hashes(table)
+        n = max(0, len(words) - least + 1)
+        self.at = np.flatnonzero(self.row[:n] == self.row[least - 1 : least - 1 + n])
+        self.hashes, self.kind = np.unique(suffix_names(H.mix(words + hosts[self.row]), least)[self.at], return_inverse=True)
+
+    def counts(self, answers: list[dict], parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """The strings, and how many pages have each; of equal pages the first in the first block that has some counts."""
+        pages, first = np.unique(self.pages, return_index=True)
+        mine = np.zeros(len(self.pages), bool)
+        mine[first[bits_of(answers, pages, parts)]] = True
+        some = mine[self.row[self.at]]
+        pair = np.unique(self.kind[some] * len(self.pages) + self.row[self.at][some])
+        return self.hashes, np.bincount(pair // max(1, len(self.pages)), minlength=len(self.hashes))
+
+    def kept(self, totals: np.ndarray) -> list[str]:
+        """Each page's text without what shared strings cover in unmarked lines."""
+        edge = np.zeros(len(self.a) + 1, np.int64)
+        hits = self.at[(totals >= 2)[self.kind]] if len(self.kind) else self.at
         np.add.at(edge, hits, 1)
         np.add.at(edge, hits + self.least, -1)
-        sums = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:-1] > 0)])
-        ends = np.concatenate([[0], np.cumsum(self.size)])
-        stay = 2 * (sums[ends[1:]] - sums[ends[:-1]]) < self.size
-        marked = np.frombuffer("".join(self.table.column("marks").to_pylist()).encode(), np.uint8) == ord("1")
-        stay |= marked
-        return ["\n".join(x for x, k in zip(lines, stay[a:].tolist(), strict=False) if k) for lines, a in zip(self.lines, self.cuts.tolist(), strict=False)]
-
-
-def send_strings(streams: Streams, parts: int) -> Iterator[tuple[int, bytes]]:
-    """(part, strings) for each range of the ascending string hashes: hashes, rows, flags, and each row's id and text hash."""
-    first, flags = streams.carriers()
-    bounds = B.ranges(streams.hashes, parts)
-    z = zstandard.ZstdCompressor(level=1)
+        gone = np.cumsum(edge)[:-1] > 0
+        out = []
+        first = np.searchsorted(self.a, np.append(self.starts, len(self.data))).tolist()
+        for i, marks in enumerate(self.table.column("marks").to_pylist()):
+            a, b = first[i], first[i + 1]
+            text = self.data[self.starts[i] : self.ends[i]].tobytes().decode("utf-8")
+            if "0" not in marks or not gone[a:b].any():
+                out.append(text)
+                continue
+            lines, at = [], a
+            for line, mark in zip(text.split("\n"), marks, strict=True):
+                tokens = line.split(" ")
+                here = gone[at : at + len(tokens)]
+                at += len(tokens)
+                stay = tokens if mark == "1" else [t for t, g in zip(tokens, here.tolist(), strict=True) if not g]
+                if stay:
+                    lines.append(" ".join(stay))
+            out.append("\n".join(lines))
+        return out
+
+
+def send_pages(table: pa.Table, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, page hashes) for each range that has some."""
+    pages = np.unique(page_hashes(table)[1])
+    bounds = B.ranges(pages, parts)
     for p in range(parts):
-        a, b = int(bounds[p]), int(bounds[p + 1])
-        rows, index = np.unique(first[a:b], return_inverse=True)
-        raw = [B.squeeze(streams.hashes[a:b])] + [z.compress(np.ascontiguousarray(x).tobytes()) for x in (index.astype("<u4").view(np.uint8).reshape(-1, 4).T, flags[a:b], streams.ids[rows], streams.sums[rows])]
-        yield p, pickle.dumps(raw)
-
-
-def shared_strings(rows: list[dict]) -> list[bytes]:
-    """For each row's strings, as bits, whether rows that differ in id and in text have them."""
-    hashes, flags, ids, sums = [], [], [], []
-    d = zstandard.ZstdDecompressor()
-    for r in rows:
-        raw = pickle.loads(r["strings"])
-        h = B.spread(raw[0])
-        index, flag, i, s = (d.decompress(x) for x in raw[1:])
-        at = np.ascontiguousarray(np.frombuffer(index, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-        hashes.append(h)
-        flags.append(np.frombuffer(flag, np.uint8))
-        ids.append(np.frombuffer(i, np.uint64)[at])
-        sums.append(np.frombuffer(s, np.uint64)[at])
-    h, flag, i, s = (np.concatenate(x) for x in (hashes, flags, ids, sums))
-    kinds, first, kind = np.unique(h, return_index=True, return_inverse=True)
-    found = np.zeros(len(kinds), np.uint8)
-    for bit, x in enumerate((i, s)):
-        found[kind[(x != x[first][kind]) | (flag >> bit & 1 == 1)]] |= np.uint8(1 << bit)
-    cuts = np.cumsum([len(x) for x in hashes])[:-1]
-    z = zstandard.ZstdCompressor(level=1)
-    return [z.compress(np.packbits(x).tobytes()) if len(x) else b"" for x in np.split(found[kind] == 3, cuts)]
-
-
-def shared_of(answers: list[dict], streams: Streams, parts: int) -> np.ndarray:
-    """Whether each of the block's strings is shared, from its answers."""
-    bounds, out = B.ranges(streams.hashes, parts), np.zeros(len(streams.hashes), bool)
+        if bounds[p] < bounds[p + 1]:
+            yield p, B.squeeze(pages[bounds[p] : bounds[p + 1]])
+
+
+def first_blocks(rows: list[dict]) -> list[bytes]:
+    """For each row's pages, as bits, whether it is the first row that has them."""
+    pages = [B.spread(r["pages"]) for r in rows]
+    first = np.unique(np.concatenate(pages), return_index=True)[1]
+    mine = np.zeros(sum(map(len, pages)), bool)
+    mine[first] = True
+    return [np.packbits(x).tobytes() for x in np.split(mine, np.cumsum([len(x) for x in pages])[:-1])]
+
+
+def bits_of(answers: list[dict], hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The answers' bits for a block's ascending hashes."""
+    bounds, out = B.ranges(hashes, parts), np.zeros(len(hashes), bool)
     for x in answers:
-        if x["reply"]:
-            a, b = int(bounds[x["part"]]), int(bounds[x["part"] + 1])
-            out[a:b] = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(x["reply"]), np.uint8), count=b - a)
+        a, b = int(bounds[x["part"]]), int(bounds[x["part"] + 1])
+        out[a:b] = np.unpackbits(np.frombuffer(x["reply"], np.uint8), count=b - a)
     return out
 
 
 def extract_text(pages: DataFrame, least: int = 6, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """(page_id, url, text, n_chars) of each page."""
-    spark = pages.sparkSession
-    folder, parts = shared_folder(spark), partitions(spark)
+    folder = shared_folder(pages.sparkSession)
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     read = source.mapInArrow(tidied(pages_of), "page_id long, url string, text string, marks string")
     blocks = B.pack(read, f"{folder}/pages", "page_id", "text", block_bytes)
+    parts, _ = B.scale(blocks)
 
     def send(batches):
         for b in batches:
             for block, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows = list(send_strings(Streams(B.from_ipc(raw.as_buffer()), least), parts))
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "part", "strings"])
+                rows = list(send_pages(B.from_ipc(raw.as_buffer()), parts))
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "part", "pages"])
 
-    sent = blocks.select("block", "rows").mapInArrow(tidied(send), "block long, part int, strings binary")
-    shared = B.exchange(sent, shared_strings, f"{folder}/strings", [])
+    firsts = B.exchange(blocks.select("block", "rows").mapInArrow(tidied(send), "block long, part int, pages binary"), first_blocks, f"{folder}/firsts")
+    totals = B.shared_counts(blocks, lambda t, answers: Streams(t, least).counts(answers, parts), f"{folder}/strings", firsts)
 
     def finish(batches):
         for b in batches:
             for raw, answers in zip(b.column(1), b.column(2).to_pylist(), strict=True):
                 streams = Streams(B.from_ipc(raw.as_buffer()), least)
-                texts = pa.array(streams.kept(shared_of(answers or [], streams, parts)), pa.string())
+                texts = pa.array(streams.kept(B.counts_of(answers or [])), pa.string())
                 t = streams.table
                 yield from pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": texts}).combine_chunks().to_batches()
 
-    runs = B.with_answers(blocks, shared).mapInArrow(tidied(finish), "page_id long, url string, text string")
+    runs = B.with_answers(blocks, totals).mapInArrow(tidied(finish), "page_id long, url string, text string")
     return runs.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

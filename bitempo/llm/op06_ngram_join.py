@@ -20,8 +20,9 @@ sequence as one). Two documents link when 100 * |intersection| >= 80 * |union|.
 
 Words are maximal runs of bytes other than blank and tab to carriage return, A-Z in
 lower case. A null or empty text has size 0 and no link. A null key takes no part: its
-component is null. Rows with the same key are documents of their own. Extra columns
-are ignored; an empty table gives an empty result.
+component is null. Rows with the same key are documents of their own, and share a
+component id only through links; equal texts are linked. Very long texts are one set
+like others. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,35 +37,6 @@ from bitempo.llm import hashing as H
 from bitempo.llm.spaces import drop, partitions, shared_folder, through, tidied
 from bitempo.plans.components import connected_components
 
-STEP = 1 << 17
-BLANK = np.zeros(256, bool)
-BLANK[[32, *range(9, 14)]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-
-
-def words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of the texts, and the number of words before each text (one more than texts)."""
-    n = len(data)
-    solid = ~BLANK[data]
-    edge = np.zeros(n + 1, bool)
-    edge[starts] = True
-    edge[n] = True
-    begin = solid & edge[:n]
-    begin[1:] |= solid[1:] & ~solid[:-1]
-    stop = solid & edge[1:]
-    stop[:-1] |= solid[:-1] & ~solid[1:]
-    a, b = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    out = np.empty(len(a), np.uint64)
-    i = 0
-    while i < len(a):
-        j = max(i + 1, int(np.searchsorted(a, a[i] + STEP)))
-        base = a[i]
-        s = H.prefix(LOWER[data[base : b[j - 1]]])
-        out[i:j] = H.mix(H.spans(s, a[i:j] - base, b[i:j] - base) + (b[i:j] - a[i:j]).astype(np.uint64) * H.BASE2)
-        i = j
-    return out, np.searchsorted(a, np.append(starts, n))
-
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     """Ascending distinct shingle hashes of one text's words."""
@@ -84,7 +56,8 @@ class Sets:
 
     def __init__(self, table: pa.Table, text: str, size: int):
         data, starts, ends = B.strings(table, text)
-        w, bounds = words(data, starts, ends) if len(data) else (np.zeros(0, np.uint64), np.zeros(len(starts) + 1, np.int64))
+        at, _, w = B.words(data, starts, ends)
+        bounds = np.searchsorted(at, np.append(starts, len(data)))
         self.sets = [shingles(w[a:b], size) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
@@ -216,13 +189,13 @@ def as_set(raw: bytes) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, folder: str, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """(id, n, f1, f2, shared) of each document: size and fingerprint of its set and, where it could link, its shared shingles, rarest first."""
+    """(block, id, n, f1, f2, shared) of each document: size and fingerprint of its set and, where it could link, its shared shingles, rarest first."""
     blocks = B.pack(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), f"{folder}/blocks", "id", "text")
-    totals = B.shared_counts(blocks, lambda t: Sets(t, "text", size).hashes(), f"{folder}/shingles", [])
+    totals = B.shared_counts(blocks, lambda t: Sets(t, "text", size).hashes(), f"{folder}/shingles")
 
     def run(batches):
         for b in batches:
-            for raw, answers in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+            for block, raw, answers in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 t = B.from_ipc(raw.as_buffer())
                 sets = Sets(t, "text", size)
                 n, f1, f2, shared = [], [], [], []
@@ -237,10 +210,11 @@ def shingle_sets(docs: DataFrame, folder: str, key: str, text: str, size: int, p
                         shared.append(s[np.argsort(c, kind="stable")].tobytes())
                     else:
                         shared.append(None)
-                yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks().chunk(0) if isinstance(t.column("id").combine_chunks(), pa.ChunkedArray) else t.column("id").combine_chunks(), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.array(shared, pa.binary())], ["id", "n", "f1", "f2", "shared"])
+                ids = pa.concat_arrays(t.column("id").chunks)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), ids, pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.array(shared, pa.binary())], ["block", "id", "n", "f1", "f2", "shared"])
 
-    out = through(B.with_answers(blocks, totals).mapInArrow(tidied(run), "id long, n long, f1 long, f2 long, shared binary"), f"{folder}/sets")
-    B.release(blocks, f"{folder}/blocks")
+    out = through(B.with_answers(blocks, totals).mapInArrow(tidied(run), "block long, id long, n long, f1 long, f2 long, shared binary"), f"{folder}/sets")
+    drop(docs.sparkSession, f"{folder}/blocks")
     drop(docs.sparkSession, f"{folder}/shingles")
     return out
 
@@ -258,10 +232,10 @@ def candidate_keys(reps: DataFrame, percent: int) -> DataFrame:
     return reps.select("rep", "n", "shared").mapInArrow(tidied(run), "shingle long, rep long")
 
 
-def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, big: int = 1500) -> DataFrame:
-    """(key, n_shingles, component_id) of each document."""
+def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, big: int = 1500, folder: str | None = None) -> DataFrame:
+    """(key, n_shingles, component_id) of each document. What it works on stays in the folder, one of its own if none is given, until the result is read."""
     spark = docs.sparkSession
-    folder, parts = shared_folder(spark), partitions(spark)
+    folder, parts = folder or shared_folder(spark), partitions(spark)
     sets = shingle_sets(docs, folder, key, text, size, percent)
     able = sets.where("shared is not null and id is not null")
     same = ["n", "f1", "f2"]
@@ -292,9 +266,10 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
         linked = linked.unionAll(connected_components(edges, lambda df, k: through(df, f"{folder}/large/{k}")).select(F.col("node").alias("rep"), F.col("component").alias("least")))
     linked = through(linked, f"{folder}/linked")
 
-    # every set's class, then every document: a set's rows may be very many, which the skew join splits
+    # every set's class goes to the blocks that hold the set, and there to its documents: no key has more rows than there are blocks, or rows in a block
     classes = reps.join(linked, "rep", "left").select(*same, F.coalesce("least", "rep").alias("component"))
-    joined = sets.drop("shared").join(classes, same, "left").where("true")
+    told = able.select("block", *same).distinct().join(classes, same)
+    joined = sets.drop("shared").join(told, ["block", *same], "left")
     able_now = F.col("id").isNotNull()
     return joined.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(able_now, F.coalesce("component", "id")).alias("component_id"))
 

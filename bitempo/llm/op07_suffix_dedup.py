@@ -17,7 +17,8 @@ with a smaller key. All of it is judged on the input.
 
 Nulls and empty texts have nothing to remove. Rows with equal keys do not remove each
 other's bytes, but lose what starts in a smaller key's. A null key counts as larger
-than all others. Extra columns are kept. An empty table gives an empty result.
+than all others. Very long texts are a block of their own. Extra columns are kept, but
+for those named like a result's; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,12 +35,13 @@ from pyspark.sql import types as T
 
 from bitempo.llm import blocks as B
 from bitempo.llm import hashing as H
-from bitempo.llm.spaces import partitions, shared_folder, tidied
+from bitempo.llm.spaces import shared_folder, tidied
 from bitempo.llm.suffixes import Suffixes
 
 #: Window starts handled at a time: their arrays stay in a core's cache.
 STEP = 1 << 16
 LAST = np.iinfo(np.int64).max
+RESULT = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def slide(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -169,6 +171,8 @@ def send_entries(block: Block, totals: np.ndarray, hot: int, parts: int):
     z = zstandard.ZstdCompressor(level=1)
     for p in range(parts):
         a, b = int(bounds[p]), int(bounds[p + 1])
+        if a == b:
+            continue
         raw = h[a:b].tobytes() + mask[a:b].tobytes() + block.keys[doc[a:b]].tobytes() + context[a:b].tobytes()
         yield p, b - a, z.compress(raw)
 
@@ -253,11 +257,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """docs with n_bytes, n_removed, n_spans and kept_sha256; with texts, the column text holds what is kept (bytes that no longer form a character go too), else it goes with all columns but the key."""
     spark = docs.sparkSession
     shape = Shape(length, gram)
-    folder, parts = shared_folder(spark), partitions(spark)
+    folder = shared_folder(spark)
     if not texts:
         docs = docs.select(key, text)
     blocks = B.pack(docs, f"{folder}/blocks", key, text)
-    totals = B.shared_counts(blocks, lambda t: Block(t, key, text, shape).hashes(), f"{folder}/anchors", [])
+    parts, _ = B.scale(blocks)
+    totals = B.shared_counts(blocks, lambda t: Block(t, key, text, shape).hashes(), f"{folder}/anchors")
 
     def send(batches):
         for b in batches:
@@ -266,10 +271,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["block", "part", "n", "entries"])
 
     sent = B.with_answers(blocks, totals).mapInArrow(tidied(send), "block long, part int, n long, entries binary")
-    masks = B.exchange(sent, lambda rows: resolve(rows, shape), f"{folder}/windows", [])
+    masks = B.exchange(sent, lambda rows: resolve(rows, shape), f"{folder}/windows")
 
-    kept = [f for f in docs.schema.fields if f.name == key or texts]
-    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in kept] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())])
+    kept = [f for f in docs.schema.fields if f.name in (key, text) or f.name not in RESULT]
+    kept = kept if texts else [f for f in kept if f.name == key]
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in kept] + [T.StructField(c, T.LongType()) for c in RESULT[:3]] + [T.StructField(RESULT[3], T.StringType())])
 
     def finish(batches):
         for b in batches:
@@ -302,4 +308,4 @@ def digest(block: Block, gone: np.ndarray, columns: list[str], text: str | None)
     out = [pa.array(stay, pa.string()) if c == text else t.column(c).combine_chunks() for c in columns]
     out = [x.chunk(0) if isinstance(x, pa.ChunkedArray) and x.num_chunks else x for x in out]
     out += [pa.array(block.ends - block.starts), pa.array(sums[block.ends] - sums[block.starts]), pa.array(spans[block.ends] - spans[block.starts]), pa.array(hashes, pa.string())]
-    return pa.RecordBatch.from_arrays(out, [*columns, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    return pa.RecordBatch.from_arrays(out, [*columns, *RESULT])
