@@ -10,13 +10,17 @@ they are and however often one shingle repeats, which plain counts do not give.
 A fingerprint within ``radius`` bits of another agrees with it up to
 ``radius // blocks`` bits in at least one of ``blocks`` equal parts (the pigeonhole
 principle). So each item is listed, for each part, under every value that near, and a
-window looks up its own parts: that finds all items within the radius. Candidates
-within the radius are verified by exact weighted Jaccard similarity of their shingles.
-
-Items shorter than a shingle are one shingle, and are looked for as such. Items or
-documents without words, or null, match nothing. A null id, of a document or an
-item, comes back as null, for benchmarks of any size. Rows that repeat are reported once. Extra columns are ignored; an empty table on either
-side gives no rows.
+window looks up its own parts under the items whose gram it was placed by: that finds
+all of these within the radius, and what is joined grows with the hits, not with hits
+times items. Candidates within the radius are verified by exact weighted Jaccard
+similarity of their shingles.
+
+Items shorter than a shingle are one shingle, and are looked for as such; a document
+shorter than an item is one window. Items or documents without words, or null, match
+nothing. A null id, of a document or an item, comes back as null, for benchmarks of any
+size. Rows that repeat are reported once; of windows that are as similar the first is
+named. Very long texts are read whole, as one row's arrays. Extra columns are ignored;
+an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitempo.llm.spaces import ROW, numbered, shared_folder, through
+from bitempo.llm.spaces import free_name, shared_folder, through
 
 BITS = 64
 
@@ -81,7 +85,7 @@ def similarity(a: str, b: str) -> Column:
 
 
 def near_parts(items: DataFrame, radius: int, blocks: int) -> DataFrame:
-    """(no, n, i, value, ...) for each part i of an item's fingerprint and each value that near."""
+    """(no, i, value, ...) for each part i of an item's fingerprint and each value that near."""
     wide = BITS // blocks
     masks = [sum(1 << b for b in bits) for k in range(radius // blocks + 1) for bits in combinations(range(wide), k)]
     listed = items.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("mask", F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks])))
@@ -109,7 +113,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     hashed = rows.withColumn("word_hashes", F.transform("words", lambda w: F.xxhash64(w)))
     windows, stable = [], None
     for k in sizes:
-        spots = placed.where(F.col("k") == k).select("n", F.posexplode(grams("word_hashes", k)).alias("offset", "gram")).distinct()
+        spots = placed.where(F.col("k") == k).select("no", "n", F.posexplode(grams("word_hashes", k)).alias("offset", "gram"))
         known = spots.select("gram").distinct()
         some = [r[0] for r in known.limit(literal_grams + 1).collect()]
         few = spots.limit(broadcast_rows + 1).count() <= broadcast_rows
@@ -127,15 +131,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         found = found.join(F.broadcast(spots) if few else spots, "gram")
         start = F.col("at") - F.col("offset")
         found = found.withColumn("start", F.greatest(F.lit(0), F.least(start, F.size("words") - F.col("n"))))
-        windows.append(found.select("key", "start", "n", F.slice("words", F.col("start") + 1, F.col("n")).alias("window")))
-    window = reduce(DataFrame.unionAll, windows).dropDuplicates(["key", "start", "n", "window"])
+        windows.append(found.select("key", "start", "n", "no", F.slice("words", F.col("start") + 1, F.col("n")).alias("window")))
+    window = reduce(DataFrame.unionAll, windows).groupBy("key", "start", "n", "window").agg(F.collect_set("no").alias("nos"))
     window = window.withColumn("shingles", shingles("window", size)).withColumn("hashes", F.transform("shingles", lambda s: F.xxhash64(s))).withColumn("votes", votes("hashes"))
     # written, so that no filter above can be moved below the fingerprints and compute them for every hit
-    window = through(window.select("key", "start", "n", "shingles", fingerprint("votes").alias("own"), F.monotonically_increasing_id().alias("window")), f"{folder}/windows")
-    parts = near_parts(items.select("no", "n", "print"), radius, blocks)
+    window = through(window.select("key", "start", "nos", "shingles", fingerprint("votes").alias("own"), F.monotonically_increasing_id().alias("window")), f"{folder}/windows")
+    parts = near_parts(items.select("no", "print"), radius, blocks)
     few = parts.limit(broadcast_rows + 1).count() <= broadcast_rows
-    looked = window.select("window", "n", "own").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("value", part(F.col("own"), F.col("i"), blocks))
-    near = looked.join(F.broadcast(parts) if few else parts, ["n", "i", "value"]).where(F.bit_count(F.col("own").bitwiseXOR(F.col("print"))) <= radius)
+    looked = window.select("window", F.explode("nos").alias("no"), "own").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("value", part(F.col("own"), F.col("i"), blocks))
+    near = looked.join(F.broadcast(parts) if few else parts, ["no", "i", "value"]).where(F.bit_count(F.col("own").bitwiseXOR(F.col("print"))) <= radius)
     # a pair within the radius can meet in several parts
     met = near.select("window", "no").distinct()
     full = met.join(window.select("window", "key", "start", "shingles"), "window")
@@ -144,8 +148,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     return best.select(F.col("key").alias(key), "item_id", (-F.col("best.back")).alias("start"), F.round("best.similarity", 9).alias("similarity"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows whose own text contains no item, with all their columns. The key is a column like others: rows that share one, or have none, go or stay on their own."""
-    rows = numbered(docs)
-    leaks = contaminated(rows, benchmark, ROW, text, **options).select(ROW).distinct()
-    return rows.join(leaks, ROW, "left_anti").select(*docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows whose own text contains no item, with all their columns. The text alone decides, and stands for itself by 128 bits of hashes; an id is a column like others."""
+    digest = lambda name: F.struct(F.xxhash64(F.col(text)).alias("a"), F.xxhash64(F.col(text), F.lit(1)).alias("b")).alias(name)
+    leaks = contaminated(docs.select(digest("leak"), text), benchmark, "leak", text, **options).select("leak").distinct()
+    own = free_name(docs, "own")
+    leaks = leaks.select(F.col("leak").alias(own))
+    return docs.withColumn(own, digest(own)).join(leaks, own, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

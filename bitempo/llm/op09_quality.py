@@ -14,14 +14,18 @@ Documents are sampled without replacement in proportion to weight ** (1 / temper
 by Gumbel top-k: the k largest of log weight / temperature + Gumbel noise. k is the
 number of documents at or above the weight that best parts good from bad labels, a lost good document counting ``COST`` times.
 
-Bounded, whatever the input: ``max_labels`` labelled rows are used (those with the
-smallest hash of their id), and 2 * 2**bits counters per model. All documents are
-counted and scored, whole.
+Bounded, whatever the input: ``max_labels`` labelled ids are used (those with the
+smallest hash), one row for each, and 2 * 2**bits counters per model. All documents
+are counted and scored, whole; very long texts in steps of bounded memory, between
+which no feature is counted twice. Counters are added up and turned into ratios on the
+executors; the driver passes on the ratios alone, 4 bytes for each counter.
 
 Nulls and empty texts have no features and weight 0, and stay unless good documents
 weigh more than that. Rows with an id that is null or has no label are counted as raw
-text alone. Repeated rows are scored alike. Without labels all stay. Extra columns are
-kept; an empty table gives an empty result.
+text alone; a repeated id has its label in every row, and the cut is judged on one of
+them. The noise comes from id and text, so repeated rows tie: they stay or go together,
+and only so can more than k rows stay. Without labels all stay. Extra columns are
+kept, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,13 +39,14 @@ from pyspark.sql import types as T
 
 from bitempo.llm import blocks as B
 from bitempo.llm import hashing as H
-from bitempo.llm.spaces import bounded_sample, shared_folder, through, tidied
+from bitempo.llm.spaces import bounded_sample, free_name, shared_folder, through, tidied
 
 BITS = 20
 LEAST = (1.0, 1.5, 2.0, 2.5, 3.0)
 COST = 10.0
-#: Bytes of text turned into features at a time.
-STEP = 1 << 20
+TEMPERATURE = 1.0
+#: Bytes of text turned into features at a time; a worker holds about a hundred for each.
+STEP = 1 << 19
 GAP, WORD, MARK = 0, 1, 2
 KIND = np.full(256, WORD, np.uint8)
 KIND[[c for c in range(128) if not chr(c).isalnum()]] = MARK
@@ -111,47 +116,51 @@ def buckets(what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (what & mask).astype(np.int64), ((what >> np.uint64(32)) & mask).astype(np.int64)
 
 
-def count_features(docs: DataFrame, labels: DataFrame, key: str, text: str, folder: str):
-    """(raw, target) counters, each 2 x 2**BITS, and the two numbers of documents."""
-    size = 1 << BITS
+def log_ratios(counts: np.ndarray, n: tuple[int, int], z: float, prior: float = 1.0) -> np.ndarray:
+    """Log ratio of target to raw for each bucket of counts (raw, target), 0 where the counts do not tell."""
+    if not n[0] or not n[1]:
+        return np.zeros(counts.shape[1:], np.float32)
+    expected = counts[0] * (n[1] / n[0])
+    away = (counts[1] - expected) / np.sqrt(expected + prior)
+    ratio = np.log((counts[1] + prior) / (expected + prior))
+    return np.where(np.abs(away) >= z, ratio, 0.0).astype(np.float32)
+
+
+def feature_ratios(docs: DataFrame, labels: DataFrame, key: str, text: str, z: float) -> np.ndarray:
+    """Log ratios for 2 x 2**BITS buckets, from the counts over all documents."""
+    size, parts = 1 << BITS, 8
 
     def run(batches):
-        counts, n = np.zeros((2, 2, size), np.int64), np.zeros(2, np.int64)
+        counts, n = np.zeros((2, 2, size), np.int32), np.zeros(2, np.int64)
         for b in batches:
             t = pa.Table.from_batches([b])
             good = np.asarray(t.column("good").fill_null(False))
             n += [len(good), int(good.sum())]
-            for i, m, who, what in steps(t, text):
-                own = good[i : i + m][who]
+            for i, _, who, what in steps(t, "text"):
+                own = good[i:][who]
                 for j, at in enumerate(buckets(what)):
-                    counts[0, j] += np.bincount(at, minlength=size)
-                    counts[1, j] += np.bincount(at[own], minlength=size)
-        z = zstandard.ZstdCompressor(level=1)
-        parts = counts.reshape(4, 8, size // 8)
-        for p in range(8):
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([z.compress(np.ascontiguousarray(parts[:, p]).tobytes())], pa.binary()), pa.array([int(n[0])]), pa.array([int(n[1])])], ["part", "counts", "n_raw", "n_target"])
-
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int64) for x in t.column("counts").to_pylist())
-        return pa.table({"part": t.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary()), "n_raw": pa.array([sum(t.column("n_raw").to_pylist())]), "n_target": pa.array([sum(t.column("n_target").to_pylist())])})
-
-    schema = "part int, counts binary, n_raw long, n_target long"
-    marked = docs.select(key, text).join(F.broadcast(labels.select(key, "good")), key, "left").select(text, "good")
-    rows = sorted(marked.mapInArrow(tidied(run), schema).groupBy("part").applyInArrow(add, schema).collect(), key=lambda r: r["part"])  # 8 rows of fixed size
-    if not rows:
-        return np.zeros((2, 2, size)), (0, 0)
-    counts = np.concatenate([np.frombuffer(r["counts"], np.int64).reshape(2, 2, -1) for r in rows], axis=2)
-    return counts, (rows[0]["n_raw"], rows[0]["n_target"])
-
-
-def log_ratios(counts: np.ndarray, n: tuple[int, int], z: float, prior: float = 1.0) -> np.ndarray:
-    """Log ratio of target to raw for each of the 2 x 2**BITS buckets, 0 where the counts do not tell."""
-    if not n[0] or not n[1]:
-        return np.zeros(counts.shape[1:], np.float64)
-    expected = counts[0] * (n[1] / n[0])
-    away = (counts[1] - expected) / np.sqrt(expected + prior)
-    ratio = np.log((counts[1] + prior) / (expected + prior))
-    return np.where(np.abs(away) >= z, ratio, 0.0)
+                    np.add.at(counts[0, j], at, 1)
+                    np.add.at(counts[1, j], at[own], 1)
+        c = zstandard.ZstdCompressor(level=1)
+        dealt = counts.reshape(2, 2, parts, size // parts)
+        for p in range(parts):
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([c.compress(np.ascontiguousarray(dealt[:, :, p]).tobytes())], pa.binary()), pa.array([int(n[0])]), pa.array([int(n[1])])], ["part", "counts", "n_raw", "n_target"])
+
+    def ratios(t: pa.Table) -> pa.Table:
+        d, total = zstandard.ZstdDecompressor(), np.zeros((2, 2, size // parts), np.int64)
+        for x in t.column("counts"):
+            total += np.frombuffer(d.decompress(x.as_py()), np.int32).reshape(total.shape)
+        n = tuple(sum(t.column(c).to_pylist()) for c in ("n_raw", "n_target"))
+        return pa.table({"part": t.column("part").slice(0, 1), "ratios": pa.array([log_ratios(total, n, z).tobytes()], pa.binary())})
+
+    told = labels.select(F.col(key).alias("id"), "good")
+    marked = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(told), "id", "left").select("text", "good")
+    counted = marked.mapInArrow(tidied(run), "part int, counts binary, n_raw long, n_target long")
+    rows = counted.groupBy("part").applyInArrow(ratios, "part int, ratios binary").orderBy("part").collect()  # 8 rows of 1 MB
+    out = np.zeros((2, parts, size // parts), np.float32)
+    for r in rows:
+        out[:, r["part"]] = np.frombuffer(r["ratios"], np.float32).reshape(2, -1)
+    return out.reshape(2, size)
 
 
 def weigh(ratios: np.ndarray, who: np.ndarray, what: np.ndarray, m: int, least: tuple[float, ...]) -> np.ndarray:
@@ -166,22 +175,36 @@ def gumbel(hashes: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(np.clip(u, 1e-300, 1 - 1e-16)))
 
 
-def weights(docs: DataFrame, ratios: np.ndarray, key: str, text: str) -> DataFrame:
-    """(key, weights array, noise) of each document."""
-    small = ratios.astype(np.float32)
+def weighed(docs: DataFrame, ratios: np.ndarray, key: str, text: str, noise: str) -> DataFrame:
+    """(id, weights, noise) of each document: its log weights, for the ratios of LEAST, and its noise."""
 
     def run(batches):
         for b in batches:
             t = pa.Table.from_batches([b])
             w = np.zeros((len(LEAST), t.num_rows))
-            for i, m, who, what in steps(t, text):
-                w[:, i : i + m] = weigh(small, who, what, m, LEAST)
-            noise = gumbel(np.asarray(b.column(2)))
+            for i, m, who, what in steps(t, "text"):
+                w[:, i : i + m] = weigh(ratios, who, what, m, LEAST)
             off = np.arange(0, w.size + 1, len(LEAST), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(w.T.ravel())), pa.array(noise)], [key, "weights", "noise"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(w.T.ravel())), pa.array(gumbel(np.asarray(b.column(2))))], ["id", "weights", "noise"])
 
-    schema = T.StructType([docs.schema[key], T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("noise", T.DoubleType())])
-    return docs.select(key, text, F.xxhash64(key).alias("hash")).mapInArrow(tidied(run), schema)
+    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("noise", T.DoubleType())])
+    return docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(key), F.col(text)).alias(noise)).mapInArrow(tidied(run), schema)
+
+
+def reaching(docs: DataFrame, ratios: np.ndarray, key: str, text: str, i: int, temperature: float, least: float) -> DataFrame:
+    """The rows whose perturbed weight, computed as in ``weighed``, is `least` or more: weighing once more takes less than writing and reading every text."""
+    noise, names, at = free_name(docs, "noise"), docs.columns, docs.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            t = pa.Table.from_batches([pa.RecordBatch.from_arrays([b.column(at)], ["text"])])
+            w = np.zeros(t.num_rows)
+            for j, m, who, what in steps(t, "text"):
+                w[j : j + m] = weigh(ratios, who, what, m, (LEAST[i],))[0]
+            stay = pa.array(w / temperature + gumbel(np.asarray(b.column(len(names)))) >= least)
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], names).filter(stay)
+
+    return docs.withColumn(noise, F.xxhash64(F.col(key), F.col(text))).mapInArrow(tidied(run), docs.schema)
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float:
@@ -204,7 +227,7 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
             above += bins[b]
 
 
-def best_cut(weights: list[float], good: list[bool]) -> tuple[float, float]:
+def best_cut(weights, good) -> tuple[float, float]:
     """(error, cut): the weight in the middle of the widest gap among those that part good from bad with the least error."""
     w, g = np.array(weights), np.array(good)
     if not len(w) or g.all() or not g.any():
@@ -224,38 +247,22 @@ def best_cut(weights: list[float], good: list[bool]) -> tuple[float, float]:
     return float(error.min()), float((lows[i] + highs[i]) / 2)
 
 
-def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_labels: int = 20_000, z: float = 3.0, temperature: float = 0.05, whole: bool = True) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_labels: int = 20_000, z: float = 3.0, temperature: float = TEMPERATURE, whole: bool = True) -> DataFrame:
     """The documents that the sample keeps: all their columns (whole) or (key, log_weight, sample_key)."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    usable = labels.select(F.col(key), ((F.coalesce("quality", F.lit(0)) > 0) & (F.coalesce("toxic", F.lit(1)) == 0)).alias("good")).where(F.col(key).isNotNull())
-    bounded = through(bounded_sample(usable.groupBy(key).agg(F.min("good").alias("good")), [key], max_labels, labels.count()), f"{folder}/labels")
-    counts, n = count_features(docs, bounded, key, text, folder)
-    ratios = log_ratios(counts, n, z)
-    raw = through(weights(docs, ratios, key, text), f"{folder}/weights")
-    known = raw.join(F.broadcast(bounded), key).select("weights", "good").limit(4 * max_labels).collect()
-    cuts = [(*best_cut([r[0][i] for r in known], [r[1] for r in known]), i) for i in range(len(LEAST))]
-    _, cut, i = min(cuts, key=lambda c: (c[0], c[2]))
-    narrow = raw.select(key, F.col("weights")[i].alias("log_weight"), (F.col("weights")[i] / temperature + F.col("noise")).alias("sample_key"))
-    k = narrow.where(F.col("log_weight") >= cut).count()
-    least = kth_largest(narrow, "sample_key", k) if k else float("inf")
-    if not whole:
-        return narrow.where(F.col("sample_key") >= least)
-    return kept_rows(docs, ratios, text, temperature, key, least, LEAST[i])
-
-
-def kept_rows(docs: DataFrame, ratios: np.ndarray, text: str, temperature: float, key: str, least: float, ratio: float) -> DataFrame:
-    """Whole rows whose perturbed weight, the same as in the narrow table, reaches the least one."""
-    extra = "__noise"
-    small = ratios.astype(np.float32)
-    names = docs.columns
-
-    def run(batches):
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            w = np.zeros(t.num_rows)
-            for i, m, who, what in steps(t, text):
-                w[i : i + m] = weigh(small, who, what, m, (ratio,))[0]
-            yield b.filter(pa.array(w / temperature + gumbel(np.asarray(t.column(extra))) >= least)).select(names)
-
-    return docs.withColumn(extra, F.xxhash64(key)).mapInArrow(tidied(run), docs.schema)
+    good = ((F.coalesce("quality", F.lit(0)) > 0) & (F.coalesce("toxic", F.lit(1)) == 0)).alias("good")
+    usable = labels.select(F.col(key), good).where(F.col(key).isNotNull()).groupBy(key).agg(F.min("good").alias("good"))
+    rows = spark.createDataFrame(bounded_sample(usable, [key], max_labels), usable.schema)
+    bounded = through(rows.coalesce(1), f"{folder}/labels")
+    ratios = feature_ratios(docs, bounded, key, text, z)
+    narrow = through(weighed(docs, ratios, key, text, "noise"), f"{folder}/weights")
+    # one row for each labelled id, so at most max_labels
+    known = narrow.join(F.broadcast(bounded.withColumnRenamed(key, "id")), "id").groupBy("id").agg(F.min(F.struct("weights", "good")).alias("one")).select("one.*").toArrow()
+    w = np.asarray(known.column("weights").combine_chunks().flatten()).reshape(-1, len(LEAST)) if known.num_rows else np.zeros((0, len(LEAST)))
+    told = np.asarray(known.column("good").to_pylist(), bool)
+    _, cut, i = min(((*best_cut(w[:, i], told), i) for i in range(len(LEAST))), key=lambda c: (c[0], c[2]))
+    sample = narrow.select(F.col("id").alias(key), F.col("weights")[i].alias("log_weight"), (F.col("weights")[i] / temperature + F.col("noise")).alias("sample_key"))
+    k = sample.where(F.col("log_weight") >= cut).count()
+    least = kth_largest(sample, "sample_key", k) if k else float("inf")
+    return reaching(docs, ratios, key, text, i, temperature, least) if whole else sample.where(F.col("sample_key") >= least)

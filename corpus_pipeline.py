@@ -15,38 +15,45 @@ from bitempo.llm.op06_ngram_join import ngram_join
 from bitempo.llm.op07_suffix_dedup import remove_repeats
 from bitempo.llm.op09_quality import resample
 from bitempo.llm.queries import byte_bpe, table
-from bitempo.llm.spaces import ROW, numbered, shared_folder
+from bitempo.llm.spaces import drop, numbered, settle, shared_folder, through
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality classifier's sample keeps."""
+    """The documents that the quality classifier's sample keeps, judged by all documents' features and the labels; edge cases are those of ``resample``: documents without text or label are weighed like others, repeated rows stay or go together."""
     return resample(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked rows the one with the smallest id, or of several such the first; rows without an id come last."""
-    rows = numbered(docs)
-    linked = ngram_join(rows, ROW).where("component_id is not null").select(ROW, "component_id")
-    groups = linked.join(linked.where(f"component_id <> {ROW}").select("component_id").distinct(), "component_id")
-    known = groups.join(rows.select(ROW, "doc_id"), ROW)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW))
-    kept = known.groupBy("component_id").agg(first.alias("kept")).select(F.col(f"kept.{ROW}").alias(ROW))
-    return rows.join(groups.select(ROW).join(kept, ROW, "left_anti"), ROW, "left_anti").select(*docs.columns)
+    """Of each group of linked rows the one with the smallest id, or of several such the first; rows without an id come last. Rows without words link with nothing and stay."""
+    settle(spark)
+    rows, row = numbered(docs)
+    work = shared_folder(spark)
+    linked = ngram_join(rows.select(F.col(row).alias("at"), "text"), "at", folder=f"{work}/join").select("at", "component_id")
+    groups = linked.join(linked.where("component_id <> at").select("component_id").distinct(), "component_id")
+    known = through(groups.join(rows.select(F.col(row).alias("at"), "doc_id"), "at"), f"{work}/groups")
+    drop(spark, f"{work}/join")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at"))
+    kept = known.groupBy("component_id").agg(first.alias("kept")).select(F.col("kept.at").alias("at"))
+    gone = known.select("at").join(kept, "at", "left_anti")
+    return rows.join(gone, rows[row] == gone["at"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes that a document with a smaller id has too; n_chars is that of the text kept."""
-    kept = remove_repeats(docs)
-    return kept.select(*[F.char_length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    """All documents, without the bytes that a document with a smaller id has too; n_chars is that of the text kept. A null text becomes an empty one; rows without an id lose what any other has, but nothing to each other."""
+    settle(spark)
+    kept = remove_repeats(docs.select([F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]), f"c{docs.columns.index('doc_id')}", f"c{docs.columns.index('text')}")
+    text = f"c{docs.columns.index('text')}"
+    return kept.select(*[F.char_length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that contain no benchmark item."""
+    """The documents that contain no benchmark item; a row's text alone decides, whatever its id."""
+    settle(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of each document."""
+    """Token count and digests of each document; a null text has those of an empty one."""
     return bpe_round_trip(docs, byte_bpe())
 
 
@@ -63,9 +70,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. An empty table passes through all of them; a stage's folder goes when the next one is written."""
     docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark)
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/stage{i}")
         docs = spark.read.parquet(f"{folder}/stage{i}")
+        if i:
+            drop(spark, f"{folder}/stage{i - 1}")
     return docs
