@@ -57,6 +57,14 @@ class LibraryBackend:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def traced(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start of each piece, number of ids before each piece), by the library's own offsets."""
+        got = self.tokenizer.encode(text, add_special_tokens=False)
+        number = np.array([-1 if w is None else w for w in got.word_ids])
+        first = np.flatnonzero(np.diff(number, prepend=-2))
+        starts = np.array([o[0] for o in got.offsets], np.int64)
+        return np.asarray(got.ids, np.int32), starts[first], first
+
     def pieces(self, pieces: list[str], block: int = 2000) -> list[list[int]]:
         out: list[list[int]] = []
         for a in range(0, len(pieces), block):

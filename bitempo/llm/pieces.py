@@ -17,7 +17,7 @@ from bitempo.llm import hashing as H
 
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
 #: Characters split in one go.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 @lru_cache(maxsize=1)
@@ -121,6 +121,20 @@ class Encoder:
         return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), offsets
 
     def _block(self, texts: list[str]) -> list[np.ndarray]:
+        firsts, begins, stop, ids, odd = self._pieces(texts)
+        bounds = np.append(np.searchsorted(begins, firsts), len(begins))
+        cuts = np.concatenate([[0], stop])[bounds]
+        return [np.asarray(self.backend.whole(t), np.int32) if bad else ids[a:b] for t, bad, a, b in zip(texts, odd.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def traced(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start of each piece, number of ids before each piece) of one text."""
+        if not text:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        _, begins, stop, ids, odd = self._pieces([text])
+        return self.backend.traced(text) if odd[0] else (ids, begins, np.concatenate([[0], stop[:-1]]))
+
+    def _pieces(self, texts: list[str]):
+        """(start of each text, start of each piece, number of ids up to each piece's end, ids, whether each text is not to be trusted)."""
         lengths = np.array([len(t) for t in texts], np.int64)
         text = "".join(texts)
         cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -157,11 +171,9 @@ class Encoder:
         n = count[inverse].astype(np.int64)
         stop = np.cumsum(n)
         ids = self.pool[np.repeat(where[inverse] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
-        bounds = np.append(np.searchsorted(begins, firsts), len(begins))
-        cuts = np.concatenate([[0], stop])[bounds]
         if clash.any():
-            odd |= np.add.reduceat(clash.astype(np.int64), bounds[:-1]) > 0
-        return [np.asarray(self.backend.whole(t), np.int32) if bad else ids[a:b] for t, bad, a, b in zip(texts, odd.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            odd |= np.add.reduceat(clash.astype(np.int64), np.searchsorted(begins, firsts)) > 0
+        return firsts, begins, stop, ids, odd
 
 
 def safe_boundaries(text: str, start: int, stop: int):
