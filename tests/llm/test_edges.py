@@ -147,7 +147,7 @@ def test_quality(spark):
     good = [(i, f"the river runs past house {i % 7} and field {i % 5}", "en") for i in range(300)]
     bad = [(1000 + i, f"the river runs past house {i % 7} you blockhead {i % 5}", "en") for i in range(100)]
     labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in good[::2]] + [(i, 1, 1) for i, _, _ in bad[::2]] + [(None, 1, 0), (1, None, None)], "doc_id long, quality int, toxic int")
-    kept = {r.doc_id for r in resample(spark.createDataFrame(good + bad, "doc_id long, text string, lang string"), labels).collect()}
+    kept = {r.doc_id for r in resample(spark.createDataFrame(good + bad, "doc_id long, text string, lang string"), labels, temperature=0.05).collect()}
     assert kept == {i for i, _, _ in good}
 
 

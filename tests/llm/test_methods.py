@@ -13,7 +13,7 @@ from bitempo.llm import op07_suffix_dedup as dedup
 from bitempo.llm.backends import encoder
 from bitempo.llm.op04_mtree import MTree
 from bitempo.llm.op05_html import read_page
-from bitempo.llm.op06_ngram_join import link_all, shingles, words
+from bitempo.llm.op06_ngram_join import link_all, shingles
 from bitempo.llm.op08_warc import chunked, dechunk
 from bitempo.llm.op09_quality import best_cut, kth_largest
 from bitempo.llm.op10_token_counts import encode_huge
@@ -51,14 +51,16 @@ def removed(documents, blocks, hot, parts=5):
     sent = [list(B.send_hashes(*b.hashes(), 48, parts)) for b in own]
     answers = [[] for _ in own]
     for p in range(parts):
-        for k, r in enumerate(B.total_counts([{"hashes": s[p][1], "counts": s[p][2]} for s in sent])):
-            answers[k].append({"part": p, "reply": r})
+        some = [(k, r) for k, s in enumerate(sent) for r in s if r[0] == p]
+        for (k, _), reply in zip(some, B.total_counts([{"hashes": r[1], "counts": r[2]} for _, r in some]) if some else [], strict=True):
+            answers[k].append({"part": p, "reply": reply})
     totals = [B.counts_of(a) for a in answers]
     entries = [list(dedup.send_entries(b, t, hot, parts)) for b, t in zip(own, totals, strict=True)]
-    masks = [[] for _ in own]
+    masks = [[np.zeros(0, np.uint32)] for _ in own]
     for p in range(parts):
-        for k, r in enumerate(dedup.resolve([{"n": s[p][1], "entries": s[p][2]} for s in entries], shape)):
-            masks[k].append(np.frombuffer(zstandard.ZstdDecompressor().decompress(r), np.uint32) if r else np.zeros(0, np.uint32))
+        some = [(k, r) for k, s in enumerate(entries) for r in s if r[0] == p]
+        for (k, _), reply in zip(some, dedup.resolve([{"n": r[1], "entries": r[2]} for _, r in some], shape) if some else [], strict=True):
+            masks[k].append(np.frombuffer(zstandard.ZstdDecompressor().decompress(reply), np.uint32))
     out = {}
     for b, t, m, d in zip(own, totals, masks, dealt, strict=True):
         gone = dedup.covered(b, t, np.concatenate(m), hot)
@@ -132,7 +134,9 @@ def test_words_and_shingles():
     texts = ["The  the\tTHE é\x0bx y", "", "one two", "a b c d e f a b c d e"]
     raw = [t.encode() for t in texts]
     ends = np.cumsum([len(t) for t in raw])
-    w, b = words(np.frombuffer(b"".join(raw), np.uint8), ends - [len(t) for t in raw], ends)
+    starts = ends - [len(t) for t in raw]
+    at, _, w = B.words(np.frombuffer(b"".join(raw), np.uint8), starts, ends)
+    b = np.searchsorted(at, np.append(starts, ends[-1]))
     for i, t in enumerate(raw):
         own = re.findall(rb"[^\x20\x09-\x0D]+", t)
         assert b[i + 1] - b[i] == len(own)
