@@ -7,14 +7,15 @@ import json
 import os
 import time
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
+from bitempo.commands import Session, hit_line, review_line, words
 from bitempo.config import TEMPLATE, Config
-from bitempo.operators import survivorship, vector
-from bitempo.operators.extract import stub_completer
+from bitempo.operators.extract import prompted, stub_completer
+from bitempo.operators.recall import Query
 from bitempo.sources.storage import Snapshots
-from bitempo.streaming.ingest import ingest
+
+render = words
 
 
 def stub_embedding(text: str, dim: int) -> list[float]:
@@ -30,77 +31,102 @@ def stub_embedding(text: str, dim: int) -> list[float]:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="bitempo")
     p.add_argument("--store", default="memory")
+    p.add_argument("--json", action="store_true")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("init").add_argument("--force", action="store_true")
     r = sub.add_parser("remember")
     r.add_argument("text")
     r.add_argument("--speaker")
-    r.add_argument("--session", type=int, default=0)
+    r.add_argument("--session", default="cli")
     q = sub.add_parser("recall")
     q.add_argument("text")
     q.add_argument("-k", type=int, default=5)
+    q.add_argument("--entity", type=int)
+    q.add_argument("--source")
+    q.add_argument("--valid-at", type=int)
+    q.add_argument("--as-of", type=int)
     a = sub.add_parser("about")
     a.add_argument("entity", type=int)
     a.add_argument("attribute")
+    a.add_argument("--valid-at", type=int)
+    a.add_argument("--as-of", type=int)
     v = sub.add_parser("review")
-    v.add_argument("action", nargs="?", choices=["list", "reject"], default="list")
+    v.add_argument("action", nargs="?", choices=["list", "confirm", "reject"], default="list")
     v.add_argument("id", nargs="?", type=int)
+    sub.add_parser("serve")
     return p
 
 
-def render(state: str, value: str | None, reason: str | None) -> str:
-    """The four states in words."""
-    return {"value": f"{value}", "absent": "known to have none", "unknown": "never discussed", "refused": f"refused to guess: {reason}"}[state]
+def models(config: Config):
+    """(completer, embedder): over HTTP where a provider is configured, stand-ins elsewhere."""
+    if config.provider:
+        from bitempo.providers import HttpProvider
+
+        p = HttpProvider(**config.provider)
+        return prompted(p.complete), p.embed
+    dim = config.dim
+    return stub_completer, lambda text: stub_embedding(text, dim)
+
+
+def open_session(spark: SparkSession, folder: str) -> Session:
+    with open(os.path.join(folder, "config.toml")) as f:
+        config = Config(f.read())
+    return Session(spark, Snapshots(spark, os.path.join(folder, "tables")), config, *models(config))
+
+
+def init(folder: str, force: bool, dim: int | None = None) -> str:
+    """Write the configuration; dim is what a provider's model was probed to give."""
+    file = os.path.join(folder, "config.toml")
+    if os.path.exists(file) and not force:
+        raise SystemExit("the store has a configuration; --force overwrites it")
+    os.makedirs(folder, exist_ok=True)
+    with open(file, "w") as f:
+        f.write(TEMPLATE if dim is None else TEMPLATE.replace("dim = 64", f"dim = {dim}"))
+    return file
 
 
 def run(spark: SparkSession, argv: list[str], now: int | None = None) -> list[str]:
     """The lines that a command prints."""
     args = parser().parse_args(argv)
     now = int(time.time() * 1000) if now is None else now
-    file = os.path.join(args.store, "config.toml")
     if args.command == "init":
-        if os.path.exists(file) and not args.force:
-            raise SystemExit("the store has a configuration; --force overwrites it")
-        os.makedirs(args.store, exist_ok=True)
-        with open(file, "w") as f:
-            f.write(TEMPLATE)
-        return [f"wrote {file}"]
-    with open(file) as f:
-        config = Config(f.read())
-    store = Snapshots(spark, os.path.join(args.store, "tables"))
+        return [f"wrote {init(args.store, args.force)}"]
+    s = open_session(spark, args.store)
+    if args.command == "serve":
+        import sys
+
+        from bitempo.server import Server
+
+        Server(s).serve(sys.stdin, sys.stdout, lambda: int(time.time() * 1000))
+        return []
+    told = lambda x, lines: [json.dumps(x)] if args.json else lines
     if args.command == "remember":
-        turns = store.read("turns")
-        position = 0 if turns is None else turns.count()
-        new = spark.createDataFrame([(args.session, position, args.speaker, args.text, now)], "session long, position long, speaker string, text string, observed_at long")
-        turns = new if turns is None else turns.unionByName(new)
-        got = ingest(turns, stub_completer, config.ruleset)
-        texts = got.versions.where("value is not null")
-        dim = config.dim
-        embed = F.udf(lambda t: stub_embedding(t, dim), "array<double>")
-        vectors = vector.prepare(texts.select(F.xxhash64("entity", "attribute", "seq").alias("assertion_id"), "entity", "attribute", "value", "session", embed("value").alias("vector")), dim, config.metric)
-        store.commit({"turns": turns, "versions": got.versions, "edges": got.edges, "reviews": got.reviews, "vectors": vectors})
-        return [json.dumps({"versions": store.read("versions").count(), "reviews": store.read("reviews").count()})]
+        got = s.remember(args.text, now, args.session, args.speaker)
+        return told(got, [f"{m['name']} ({m['kind']}): {'recognised as' if m['outcome'] == 'merged' else 'new,'} {m['entity']}" for m in got["mentions"]] + [f"{got['versions']} versions written"] + [f"dropped: {w}" for w in got["dropped"]])
     if args.command == "recall":
-        rows = store.read("vectors")
-        asked = vector.prepare(spark.createDataFrame([(0, stub_embedding(args.text, config.dim))], "query_id long, vector array<double>"), config.dim, config.metric)
-        hits: DataFrame = vector.search(rows, asked, args.k, config.metric).join(rows, "assertion_id").orderBy("rank")
-        return [f"{r.entity} {r.attribute}: {r.value} ({r.score:.3f})" for r in hits.collect()]
+        q = Query(args.k, entity=args.entity, source=args.source)
+        if args.valid_at is not None or args.as_of is not None:
+            q = q.as_of(now if args.valid_at is None else args.valid_at, now if args.as_of is None else args.as_of)
+        hits = s.recall(args.text, q)
+        return told(hits, [hit_line(h) for h in hits])
     if args.command == "about":
-        log = store.read("versions").where((F.col("entity") == args.entity) & (F.col("attribute") == args.attribute))
-        row = survivorship.about(log, config.policy, now, now).first()
-        return [render(*(row["state"], row["value"], row["reason"]) if row else ("unknown", None, None))]
-    reviews = store.read("reviews")
-    if args.action == "reject":
-        store.commit({"reviews": reviews.where(F.col("review") != args.id)})
-        return [f"settled {args.id} as different"]
-    return [f"{r.review}: {r.a} and {r.b} ({r.score:.2f} bits)" for r in reviews.orderBy("review").collect()]
+        a = s.about(args.entity, args.attribute, now if args.valid_at is None else args.valid_at, now if args.as_of is None else args.as_of)
+        return told(a, [words(**a)])
+    if args.action == "list":
+        open_ = s.reviews()
+        return told(open_, [review_line(r) for r in open_])
+    if args.id is None:
+        raise SystemExit("which review?")
+    done = s.settle(args.id, args.action == "confirm")
+    return told(done, [f"merged into {done['survivor']}" if "survivor" in done else f"settled {args.id} as different"])
 
 
 def main() -> None:
     import sys
 
     spark = SparkSession.builder.appName("bitempo").getOrCreate()
-    print("\n".join(run(spark, sys.argv[1:])))
+    for line in run(spark, sys.argv[1:]):
+        print(line)
 
 
 if __name__ == "__main__":

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import tomllib
 
 from bitempo.operators.resolve import Blocking, Rule, Ruleset
 from bitempo.operators.survivorship import Policy, Strategy
 
+#: The file's keys, and the numbers that are shipped in it.
 TEMPLATE = """\
 [index]
 dim = 64
@@ -42,7 +44,7 @@ employer = "valid_interval"
 
 COMPARATORS = ("exact", "normalized", "jaro_winkler", "token_jaccard", "possessive_aware")
 METRICS = ("cosine", "l2")
-KNOWN = {"": {"index", "resolution", "policy"}, "index": {"dim", "metric"}, "resolution": {"review_at", "match_at", "field", "blocking"}, "policy": {"default", "attribute"}, "field": {"field", "comparator", "m", "u"}, "blocking": {"kind", "field", "n"}}
+KNOWN = {"": {"index", "resolution", "policy", "provider"}, "provider": {"base_url", "api_key_env", "completion_model", "embedding_model"}, "index": {"dim", "metric"}, "resolution": {"review_at", "match_at", "field", "blocking"}, "policy": {"default", "attribute"}, "field": {"field", "comparator", "m", "u"}, "blocking": {"kind", "field", "n"}}
 
 
 class ConfigError(ValueError):
@@ -73,6 +75,15 @@ class Config:
         _only("index", index)
         _only("resolution", resolution)
         _only("policy", policy)
+        provider = raw.get("provider")
+        self.provider = None
+        if provider is not None:
+            _only("provider", provider)
+            try:
+                # the file names the variable that holds the key, never the key
+                self.provider = {"base_url": provider["base_url"], "api_key": os.environ.get(provider["api_key_env"], ""), "completion_model": provider["completion_model"], "embedding_model": provider["embedding_model"]}
+            except KeyError as e:
+                raise ConfigError(f"provider lacks {e.args[0]}") from None
         self.dim, self.metric = index.get("dim", 64), index.get("metric", "cosine")
         if self.metric not in METRICS or self.dim < 1:
             raise ConfigError("no such index")

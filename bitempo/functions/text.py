@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,19 +58,27 @@ def jaro_winkler_of(a: str, b: str) -> float:
     return base + p * 0.1 * (1 - base)
 
 
+#: An apostrophe, straight or curly, that ends a word with something behind it.
+OWNS = regex.compile(r"(?<=.)['\u2019]s?\p{White_Space}+", regex.S)
+STRANGE = regex.compile(r"[^\p{Alphabetic}\p{N}\p{White_Space}]+")
+BLANKS = regex.compile(r"\p{White_Space}+")
+
+
 def possessive_parts_of(text: str) -> tuple[str | None, str]:
-    """(owner, head) of a possessive phrase; without one (None, the whole)."""
-    m = re.match(r"^(.*?\S)(?:['’]s|(?<=s)['’])\s+(\S.*)$", text.strip(), re.S)
-    if m and m[1].strip():
-        return m[1].strip(), m[2].strip()
-    first, _, rest = text.strip().partition(" ")
-    if first.lower() in DETERMINERS and rest.strip():
-        return first, rest.strip()
-    return None, text
+    """(owner, head) of a possessive phrase; without one (None, the whole). The first apostrophe that ends a word parts them, or a determiner in front."""
+    whole = regex.sub(r"^\p{White_Space}+|\p{White_Space}+$", "", text)
+    m = OWNS.search(whole)
+    if m:
+        return whole[: m.start()], whole[m.end() :]
+    m = BLANKS.search(whole)
+    if m and _plain(whole[: m.start()]) in DETERMINERS:
+        return whole[: m.start()], whole[m.end() :]
+    return None, whole
 
 
 def _plain(text: str) -> str:
-    return " ".join("".join(c.lower() for c in text if c.isalnum() or c.isspace()).split())
+    """What normalize gives, for one string: letters by the Alphabetic property."""
+    return "".join(c.lower() for c in BLANKS.sub(" ", STRANGE.sub("", text)).strip(" "))
 
 
 def possessive_aware_of(a: str, b: str) -> float:
@@ -86,7 +93,9 @@ def possessive_aware_of(a: str, b: str) -> float:
 def _pairwise(f):
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+        # a batch compares each pair of strings once
+        known = {(x, y): None if x is None or y is None else f(x, y) for x, y in set(zip(a, b, strict=True))}
+        return pd.Series([known[p] for p in zip(a, b, strict=True)], dtype="float64")
 
     return run
 
@@ -112,3 +121,14 @@ def compare(kind: str, a: Column, b: Column) -> Column:
         "token_jaccard": lambda: token_jaccard(a, b),
         "possessive_aware": lambda: possessive_aware(a, b),
     }[kind]()
+
+
+def possessive_parts(c: Column) -> Column:
+    """struct(owner, head) of a phrase."""
+
+    @F.pandas_udf("owner string, head string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        known = {t: (None, None) if t is None else possessive_parts_of(t) for t in set(texts)}
+        return pd.DataFrame([known[t] for t in texts], columns=["owner", "head"])
+
+    return run(c)

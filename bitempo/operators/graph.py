@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitempo.operators.temporal import in_force
-from bitempo.plans.loops import cut
+from bitempo.plans.loops import cut, written
 
 
 @dataclass(frozen=True)
@@ -33,15 +33,18 @@ def neighbours(edges: DataFrame, walk: Walk) -> DataFrame:
     return {"out": out, "in": back, "both": out.unionAll(back)}[walk.direction].distinct()
 
 
-def neighborhood(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, walk: Walk) -> DataFrame:
+def neighborhood(edges: DataFrame, nodes: DataFrame | None, seeds: DataFrame, walk: Walk) -> DataFrame:
     """(entity, distance, truncated): the first `budget` entities reached, nearest first, then by id.
 
-    Seeds that are not nodes are skipped; seeds count against the budget. A level
+    Seeds that are not nodes (without a table of them: ends of edges) are skipped; seeds count against the budget. A level
     depends on the whole level before it alone, so cutting the ordered result is the
     same as stopping the walk.
     """
-    steps = cut(neighbours(edges, walk)) if walk.hops > 1 else neighbours(edges, walk)
-    frontier = seeds.select(F.col("entity")).distinct().join(nodes.select("entity").distinct(), "entity", "left_semi").withColumn("distance", F.lit(0))
+    if nodes is None:
+        edges = written(edges)  # read for its ends and for what is in force
+        nodes = edges.select(F.col("subject").alias("entity")).unionAll(edges.select("object"))
+    steps = written(neighbours(edges, walk)) if walk.hops > 1 else neighbours(edges, walk)
+    frontier = cut(seeds.select("entity").distinct().join(nodes.select("entity"), "entity", "left_semi").withColumn("distance", F.lit(0)))
     seen = frontier
     for hop in range(1, walk.hops + 1):
         nxt = frontier.select(F.col("entity").alias("a")).join(steps, "a").select(F.col("b").alias("entity")).distinct().join(seen, "entity", "left_anti").withColumn("distance", F.lit(hop))

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitempo.operators.temporal import in_force
+from bitempo.plans.components import connected_components
+from bitempo.plans.loops import cut
+from bitempo.plans.numbering import number
 from bitempo.schema import LOG, TRIPLE
 
 
@@ -15,9 +18,8 @@ class UnknownEntity(ValueError):
 
 def create_entities(entities: DataFrame, new: DataFrame, order: str) -> DataFrame:
     """New entities with the next ids, in the given order."""
-    top = entities.agg(F.coalesce(F.max("entity"), F.lit(-1)).alias("top"))
-    counted = new.withColumn("entity", F.row_number().over(Window.orderBy(order)).cast("long"))
-    return counted.join(F.broadcast(top)).withColumn("entity", F.col("entity") + F.col("top")).drop("top")
+    top = entities.agg(F.max("entity")).first()[0]
+    return number(new, [order], "entity", 0 if top is None else top + 1)
 
 
 def require_entities(rows: DataFrame, entities: DataFrame, column: str = "entity") -> DataFrame:
@@ -27,14 +29,25 @@ def require_entities(rows: DataFrame, entities: DataFrame, column: str = "entity
     return rows
 
 
+def assert_versions(versions: DataFrame, rows: DataFrame, entities: DataFrame) -> DataFrame:
+    """The log with rows behind it; a row of an unknown entity is an error, and then nothing is written."""
+    return append(versions, require_entities(rows, entities), LOG)
+
+
 def append(log: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
     """rows behind their logs, in the order of (tx, seq), with the seqs that follow."""
     last = log.groupBy(*by).agg(F.max("seq").alias("last"))
     n = F.row_number().over(Window.partitionBy(*by).orderBy("tx", "seq"))
-    numbered = rows.withColumn("n", n).join(last, by, "left").withColumn("seq", F.coalesce(F.col("last"), F.lit(-1)) + F.col("n"))
+    numbered = filled(rows, log).withColumn("n", n).join(last, by, "left").withColumn("seq", F.coalesce(F.col("last"), F.lit(-1)) + F.col("n"))
     return log.unionByName(numbered.select(*log.columns))
 
 
+def filled(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """rows with a null in every column of like that they lack."""
+    lacking = [f for f in like.schema.fields if f.name not in rows.columns]
+    return rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in lacking])
+
+
 def erase_attribute(versions: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(the logs that stay, (entity, attribute, erased) of those destroyed); gone: (entity, attribute)."""
     lost = versions.join(gone.select(*LOG).distinct(), LOG, "left_semi").groupBy(*LOG).agg(F.count("*").alias("erased"))
@@ -55,13 +68,13 @@ def relate(edges: DataFrame, new: DataFrame, entities: DataFrame | None = None)
     if entities is not None:
         require_entities(new, entities, "subject")
         require_entities(new, entities, "object")
-    return append(edges, new.withColumn("present", F.lit(True)).withColumn("seq", F.lit(0).cast("long")).select(*edges.columns), TRIPLE)
+    return append(edges, new.withColumn("present", F.lit(True)).withColumn("seq", F.lit(0).cast("long")), TRIPLE)
 
 
 def unrelate(edges: DataFrame, gone: DataFrame, at: int) -> DataFrame:
     """A tombstone from `at` behind each of the triples' logs; no earlier edge is needed."""
     tomb = gone.select(*TRIPLE).distinct().select(*TRIPLE, F.lit(0).cast("long").alias("seq"), F.lit(False).alias("present"), F.lit(at).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("valid_to"), F.lit(at).cast("long").alias("tx"))
-    return append(edges, tomb.select(*edges.columns), TRIPLE)
+    return append(edges, tomb, TRIPLE)
 
 
 def erase_edges(edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -74,11 +87,12 @@ def erase_edges(edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def repoint_edges(edges: DataFrame, merged: DataFrame) -> DataFrame:
-    """Edges with absorbed ends replaced by kept ones; merged: (absorbed, kept).
+    """Edges with absorbed ends replaced by kept ones; merged: (absorbed, kept), chains followed to their end.
 
     What would lead to itself is dropped. Logs that come together are put in the order
     of tx, the kept entity's own first at equal tx; other logs keep their order.
     """
+    merged = roots(merged)
     side = lambda c: merged.select(F.col("absorbed").alias(c), F.col("kept").alias(f"k_{c}"))
     moved = edges.join(side("subject"), "subject", "left").join(side("object"), "object", "left")
     moved = moved.withColumn("origin", F.when(F.col("k_subject").isNull() & F.col("k_object").isNull(), 0).otherwise(1)).withColumn("old", F.struct("subject", "object"))
@@ -89,6 +103,37 @@ def repoint_edges(edges: DataFrame, merged: DataFrame) -> DataFrame:
     return moved.withColumn("seq", F.when(many, order.cast("long")).otherwise(F.col("seq"))).select(*edges.columns)
 
 
+def repointed(edges: DataFrame, merged: DataFrame) -> DataFrame:
+    """(kept, moved): how many triples each survivor took over, those that would lead to itself among them."""
+    merged = roots(merged)
+    triples = edges.select(*TRIPLE).distinct()
+    ends = triples.select(F.col("subject").alias("absorbed"), *TRIPLE).unionAll(triples.select(F.col("object").alias("absorbed"), *TRIPLE))
+    return ends.join(merged, "absorbed").select("kept", *TRIPLE).distinct().groupBy("kept").agg(F.count("*").alias("moved"))
+
+
+def roots(merged: DataFrame) -> DataFrame:
+    """(absorbed, kept) with chains followed: of all that merge into each other the smallest is kept."""
+    found = connected_components(merged.select(F.col("absorbed").alias("src"), F.col("kept").alias("dst")), cut)
+    return found.where("node <> component").select(F.col("node").alias("absorbed"), F.col("component").alias("kept"))
+
+
+def fold_identity(identity: DataFrame, merged: DataFrame) -> DataFrame:
+    """(entity, record) after merges given as roots: each field as the smallest entity of the group that has it spells it."""
+    told = identity.join(merged.select(F.col("absorbed").alias("entity"), "kept"), "entity", "left").withColumn("to", F.coalesce("kept", "entity"))
+    fields = told.select("to", "entity", F.explode_outer("record").alias("field", "value"))
+    one = fields.groupBy("to", "field").agg(F.min_by("value", "entity").alias("value"))
+    pairs = F.filter(F.collect_list(F.struct("field", "value")), lambda p: p["field"].isNotNull())
+    return one.groupBy("to").agg(F.map_from_entries(F.array_sort(pairs)).alias("record")).select(F.col("to").alias("entity"), "record")
+
+
+def follow(pairs: DataFrame, merged: DataFrame) -> DataFrame:
+    """Pairs (a, b) that follow their entities; those of one entity with itself are settled."""
+    m = lambda c: merged.select(F.col("absorbed").alias(c), F.col("kept").alias(f"k{c}"))
+    p = pairs.join(m("a"), "a", "left").join(m("b"), "b", "left")
+    x, y = F.coalesce("ka", "a"), F.coalesce("kb", "b")
+    return p.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b").distinct()
+
+
 def close_edges(edges: DataFrame, closures: DataFrame, spared: DataFrame) -> DataFrame:
     """Tombstones for every edge of a closure's (subject, predicate) in force at its instant, but for the triples spared; closures: (subject, predicate, at)."""
     live = edges.join(closures, ["subject", "predicate"]).where((F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to"))))
@@ -101,7 +146,7 @@ def live_edges(edges: DataFrame, valid_t: int, tx_t: int) -> DataFrame:
 
 
 def confirm(versions: DataFrame, edges: DataFrame, reviews: DataFrame, merged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Versions, edges and open reviews after merging absorbed entities into kept ones.
+    """Versions, edges and open reviews after merging absorbed entities into kept ones, given as roots.
 
     The kept entity's log comes first, so at equal tx the absorbed one's version wins.
     Reviews follow their entities; those of one entity with itself are settled, and of
@@ -121,4 +166,5 @@ def confirm(versions: DataFrame, edges: DataFrame, reviews: DataFrame, merged: D
 def reject(reviews: DataFrame, rejected: DataFrame, settled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(open reviews, rejected pairs (a, b)) after settling the given reviews as different."""
     gone = reviews.join(settled.select("review"), "review", "left_semi").select("a", "b")
+    gone = gone.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return reviews.join(settled.select("review"), "review", "left_anti"), rejected.unionByName(gone).distinct()

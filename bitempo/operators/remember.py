@@ -7,20 +7,23 @@ own, with the same result as one long sequential fold.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitempo.functions.text import _plain, jaro_winkler_of, possessive_aware_of
 from bitempo.operators.resolve import Ruleset, keyed
 from bitempo.plans.components import connected_components
 from bitempo.plans.loops import cut
+from bitempo.plans.numbering import number
 
 
 def _tokens_jaccard(a: str, b: str) -> float:
-    x, y = _plain(a).split(), _plain(b).split()
+    x, y = [t for t in _plain(a).split(" ") if t], [t for t in _plain(b).split(" ") if t]
     if not x and not y:
         return 1.0
     both = sum(t in y for t in x)
@@ -47,54 +50,107 @@ def bits(ruleset: Ruleset, a: dict, b: dict) -> float:
     return total
 
 
-def fold(ruleset: Ruleset, mentions: list[tuple[int, dict, list[str]]], rejected: set | None = None) -> list[tuple[int, int, str, list[tuple[int, float]]]]:
-    """(mention, entity, outcome, reviews) in order; an entity is named by the mention that created it."""
-    known: dict[int, dict] = {}
+def fold(ruleset: Ruleset, mentions: list[tuple[int, dict, list[str]]], rejected: set | None = None, known: list[tuple[int, dict, list[str]]] = ()) -> tuple[list[tuple[int, int, str, list[tuple[int, float]]]], dict[int, dict]]:
+    """((mention, entity, outcome, reviews) in order, identity of each entity). An entity that was known before has its id as (id, record, keys); one created here is named -1 - mention."""
+    held: dict[int, dict] = {}
     blocks: dict[str, set[int]] = {}
-    own: dict[int, set[str]] = {}
+    for e, record, keys in known:
+        held[e] = dict(record)
+        for k in keys:
+            blocks.setdefault(k, set()).add(e)
+    old = {e for e, _, _ in known}
+    age = lambda e: (e not in old, e if e in old else -e)  # noqa: E731 - known ones are older than created ones
     out = []
     for at, record, keys in mentions:
-        near = sorted({e for k in keys for e in blocks.get(k, ())})
+        near = sorted({e for k in keys for e in blocks.get(k, ())}, key=age)
         best, best_bits, doubts = None, None, []
         for e in near:
-            s = bits(ruleset, record, known[e])
+            s = bits(ruleset, record, held[e])
             if s >= ruleset.match_at:
                 if best is None or s > best_bits:
                     best, best_bits = e, s
-            elif s >= ruleset.review_at and not (rejected and frozenset((_key(record), _key(known[e]))) in rejected):
+            elif s >= ruleset.review_at and not (rejected and frozenset((_key(record), _key(held[e]))) in rejected):
                 doubts.append((e, s))
-        entity = at if best is None else best
-        if best is None:
-            known[entity] = {}
-            own[entity] = set()
+        entity = -1 - at if best is None else best
         for f, v in record.items():
-            known[entity].setdefault(f, v)
+            held.setdefault(entity, {}).setdefault(f, v)
+        held.setdefault(entity, {})
         for k in keys:
             blocks.setdefault(k, set()).add(entity)
         out.append((at, entity, "merged" if best is not None else "created_pending_review" if doubts else "created", doubts if best is None else []))
-    return out
+    return out, held
 
 
 def _key(record: dict) -> tuple:
     return tuple(sorted(record.items()))
 
 
-def remember(mentions: DataFrame, ruleset: Ruleset) -> tuple[DataFrame, DataFrame]:
-    """((mention, entity, outcome), (review, a, b, score)) of mentions (id, record), which come in the order of their ids."""
-    keys = cut(keyed(mentions, ruleset.blocking))
+@dataclass
+class Remembered:
+    """told (mention, entity, outcome), reviews (review, a, b, score) that were filed, and identity (entity, record) of all entities."""
+
+    told: DataFrame
+    reviews: DataFrame
+    identity: DataFrame
+
+
+def remember_into(mentions: DataFrame, ruleset: Ruleset, identity: DataFrame | None = None, rejected: DataFrame | None = None, next_entity: int | None = None, next_review: int = 1) -> Remembered:
+    """Mentions (id, record), in the order of their ids, met with the entities known before (identity: entity, record) and the pairs answered as different (rejected: a, b).
+
+    New entities get the next ids in the order of the mentions that create them, reviews
+    theirs by mention and then by the other entity. Two batches give what one gives.
+    """
+    spark = mentions.sparkSession
+    identity = spark.createDataFrame([], "entity long, record map<string,string>") if identity is None else identity
+    if next_entity is None:
+        top = identity.agg(F.max("entity")).first()[0]
+        next_entity = 1 if top is None else top + 1
+    new = mentions.select("id", "record", F.lit(True).alias("new"))
+    old = identity.select(F.col("entity").alias("id"), "record", F.lit(False).alias("new"))
+    # a node is a mention (even) or a known entity (odd)
+    node = lambda i, fresh: i * 2 + F.when(fresh, 0).otherwise(1)
+    both = new.unionByName(old).withColumn("node", node(F.col("id"), F.col("new")))
+    keys = cut(keyed(both.select(F.col("node").alias("id"), "record"), ruleset.blocking) if ruleset.blocking else both.select(F.col("node").alias("id"), F.lit("").alias("key")))
     first = keys.groupBy("key").agg(F.min("id").alias("dst"))
     star = keys.join(first, "key").select(F.col("id").alias("src"), "dst").where("src <> dst")
-    groups = connected_components(star, cut)
-    dealt = mentions.join(groups, F.col("id") == F.col("node"), "left").select("id", "record", F.coalesce("component", "id").alias("group"))
-    dealt = dealt.join(keys.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys")), "id", "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        rows = [(int(i), dict(r), list(k) if k is not None else []) for i, r, k in zip(pdf["id"], pdf["record"], pdf["keys"], strict=True)]
-        done = fold(ruleset, rows)
-        return pd.DataFrame({"mention": [d[0] for d in done], "entity": [d[1] for d in done], "outcome": [d[2] for d in done], "others": [[x for x, _ in d[3]] for d in done], "scores": [[x for _, x in d[3]] for d in done]})
-
-    done = cut(dealt.groupBy("group").applyInPandas(run, "mention long, entity long, outcome string, others array<long>, scores array<double>"))
-    pairs = done.select("mention", F.explode(F.arrays_zip("others", "scores")).alias("o")).select(F.least("mention", "o.others").alias("a"), F.greatest("mention", "o.others").alias("b"), F.col("o.scores").alias("score"), "mention", F.col("o.others").alias("other"))
-    reviews = pairs.withColumn("review", F.row_number().over(Window.orderBy("mention", "other")).cast("long")).select("review", "a", "b", "score")
-    return done.select("mention", "entity", "outcome"), reviews
+    groups = connected_components(star, cut).withColumnRenamed("component", "group")
+    dealt = both.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    dealt = dealt.join(keys.groupBy(F.col("id").alias("node")).agg(F.sort_array(F.collect_list("key")).alias("keys")), "node", "left")
+    # a rejected pair is known by its records, which stand in one group
+    if rejected is not None:
+        named = lambda c: identity.select(F.col("entity").alias(c), F.col("record").alias(f"r{c}"))
+        pairs = rejected.join(named("a"), "a").join(named("b"), "b").withColumn("node", F.col("a") * 2 + 1).join(groups, "node").select("group", "ra", "rb")
+        settled = pairs.groupBy("group").agg(F.collect_list(F.struct("ra", "rb")).alias("settled"))
+        dealt = dealt.join(settled, "group", "left")
+    else:
+        dealt = dealt.withColumn("settled", F.lit(None).cast("array<struct<ra:map<string,string>,rb:map<string,string>>>"))
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(maps_as_pydicts="strict"), key=lambda r: r["id"])
+        given = next((r["settled"] for r in rows if r["settled"]), [])
+        refused = {frozenset((_key(p["ra"]), _key(p["rb"]))) for p in given}
+        rows = [(r["id"], r["record"], r["keys"] or [], r["new"]) for r in rows]
+        done, held = fold(ruleset, [r[:3] for r in rows if r[3]], refused, [r[:3] for r in rows if not r[3]])
+        told = [{"mention": m, "entity": e, "outcome": o, "others": [x for x, _ in d], "scores": [x for _, x in d]} for m, e, o, d in done]
+        return pa.Table.from_pylist(told + [{"entity": e, "record": json.dumps(r)} for e, r in held.items()], schema)
+
+    schema = pa.schema([("mention", pa.int64()), ("entity", pa.int64()), ("outcome", pa.string()), ("others", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64())), ("record", pa.string())])
+    done = cut(dealt.groupBy("group").applyInArrow(run, "mention long, entity long, outcome string, others array<long>, scores array<double>, record string"))
+    made = number(done.where("outcome in ('created', 'created_pending_review')").select("mention"), ["mention"], "id", next_entity)
+    ids = cut(made.select((-1 - F.col("mention")).alias("entity"), F.col("id").alias("final")))
+
+    def final(df: DataFrame, column: str) -> DataFrame:
+        return df.join(ids.select(F.col("entity").alias(column), "final"), column, "left").withColumn(column, F.coalesce("final", column)).drop("final")
+
+    told = done.where("mention is not null")
+    filed = told.select("mention", "entity", F.explode(F.arrays_zip("others", "scores")).alias("o")).select("mention", F.col("entity").alias("own"), F.col("o.others").alias("other"), F.col("o.scores").alias("score"))
+    filed = number(final(final(filed, "own"), "other"), ["mention", "other"], "review", next_review)
+    reviews = filed.select("review", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "score")
+    known = final(done.where("record is not null").select("entity", F.from_json("record", "map<string,string>").alias("record")), "entity")
+    return Remembered(final(told.select("mention", "entity", "outcome"), "entity").select("mention", "entity", "outcome"), reviews, known.select("entity", "record"))
+
+
+def remember(mentions: DataFrame, ruleset: Ruleset) -> tuple[DataFrame, DataFrame]:
+    """((mention, entity, outcome), (review, a, b, score)) of mentions (id, record), met with no entities known before."""
+    got = remember_into(mentions, ruleset)
+    return got.told, got.reviews

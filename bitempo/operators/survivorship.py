@@ -165,3 +165,17 @@ def superseded(versions: DataFrame, horizon: int | None = None) -> DataFrame:
     """versions with whether a strictly later one of the same log was learned by the horizon, whatever its value."""
     tx = F.col("tx") if horizon is None else F.when(F.col("tx") <= horizon, F.col("tx"))
     return versions.withColumn("superseded", F.coalesce(F.max(tx).over(Window.partitionBy(*LOG)) > F.col("tx"), F.lit(False)))
+
+
+def outcome_as_of(log: DataFrame, strategy: Strategy, t: int, order: list[str] | None = None) -> DataFrame:
+    """(entity, attribute, value) held at t; an absence, asserted or not, is null, and refused logs have no row."""
+    held = held_at(log, strategy, t, order)
+    return held.where("state <> 'refused'").select(*LOG, F.when(F.col("state") == "value", F.col("value")).alias("value"))
+
+
+def survivor(log: DataFrame, strategy: Strategy, order: list[str] | None = None) -> DataFrame:
+    """(entity, attribute, value) of the single winner; a timeline has one only if it is a single fact. Refused logs have no row."""
+    if strategy is not Strategy.VALID_INTERVAL:
+        return outcome_as_of(log, strategy, 0, order)
+    spans = timeline(log).groupBy(*LOG).agg(F.count("*").alias("n"), F.min(F.struct("state", "value")).alias("one"))
+    return spans.where("one.state <> 'refused'").select(*LOG, F.when((F.col("n") == 1) & (F.col("one.state") == "value"), F.col("one.value")).alias("value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitempo.functions.interval import contains
@@ -27,14 +27,15 @@ def current(versions: DataFrame, now: int, asked: DataFrame | None = None) -> Da
 
 
 def history(versions: DataFrame, entity: int | None = None, attribute: str | None = None) -> DataFrame:
-    """The log in append order."""
+    """The log of an entity or attribute in append order; of all, in no order but that of seq within a log."""
     out = versions if entity is None else versions.where(F.col("entity") == entity)
     out = out if attribute is None else out.where(F.col("attribute") == attribute)
-    return out.orderBy(*LOG, "seq")
+    return out.orderBy(*LOG, "seq") if entity is not None else out
 
 
 def entity_ids(versions: DataFrame) -> DataFrame:
-    return versions.select("entity").distinct().orderBy("entity")
+    """Ids; a caller that wants them ascending orders them."""
+    return versions.select("entity").distinct()
 
 
 def in_force(edges: DataFrame, valid_t: int, tx_t: int) -> DataFrame:
@@ -45,13 +46,34 @@ def in_force(edges: DataFrame, valid_t: int, tx_t: int) -> DataFrame:
 
 def edges_from(edges: DataFrame, valid_t: int, tx_t: int, subject: int | None = None) -> DataFrame:
     some = edges if subject is None else edges.where(F.col("subject") == subject)
-    return in_force(some, valid_t, tx_t).orderBy("subject", "predicate", "object")
+    found = in_force(some, valid_t, tx_t)
+    return found if subject is None else found.orderBy("predicate", "object")
 
 
 def edges_into(edges: DataFrame, valid_t: int, tx_t: int, object_: int | None = None) -> DataFrame:
     some = edges if object_ is None else edges.where(F.col("object") == object_)
-    return in_force(some, valid_t, tx_t).select("object", "subject", "predicate").orderBy("object", "subject", "predicate")
+    found = in_force(some, valid_t, tx_t).select("object", "subject", "predicate")
+    return found if object_ is None else found.orderBy("subject", "predicate")
 
 
-def edge_history(edges: DataFrame) -> DataFrame:
-    return edges.orderBy(*TRIPLE, "seq")
+def edge_history(edges: DataFrame, subject: int | None = None, predicate: str | None = None, object_: int | None = None) -> DataFrame:
+    """The log of a triple in append order; of all, in no order but that of seq within a log."""
+    asked = [F.col(c) == v for c, v in zip(TRIPLE, (subject, predicate, object_), strict=True) if v is not None]
+    for a in asked:
+        edges = edges.where(a)
+    return edges.orderBy(*TRIPLE, "seq") if asked else edges
+
+
+def entity(entities: DataFrame, wanted: int) -> DataFrame:
+    """The row of one entity, or none."""
+    return entities.where(F.col("entity") == wanted)
+
+
+def is_known(state: str = "state") -> Column:
+    """Whether an answer says something: a value, or that there is none."""
+    return F.col(state).isin("value", "absent")
+
+
+def value_of(state: str = "state", value: str = "value") -> Column:
+    """An answer's value; absent and unknown have none."""
+    return F.when(F.col(state) == "value", F.col(value))

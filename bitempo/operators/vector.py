@@ -8,14 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 256
+#: Rows scored at a time.
+STEP = 1024
 
 
 def problems(vector: str, dim: int, metric: str = "cosine") -> Column:
     """Why a vector cannot be stored, or null."""
     v = F.col(vector)
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    bad, at = F.exists(v, odd), F.array_position(F.transform(v, lambda x: F.coalesce(odd(x), F.lit(True))), True) - 1
     zero = ~F.exists(v, lambda x: x != 0)
-    return F.when(v.isNull() | (F.size(v) != dim), "wrong dimension").when(bad, "not finite").when(zero & F.lit(metric == "cosine"), "zero vector")
+    return F.when(v.isNull() | (F.size(v) != dim), "wrong dimension").when(bad, F.concat(F.lit("not finite at "), at.cast("string"))).when(zero & F.lit(metric == "cosine"), "zero vector")
 
 
 def norm(vector: str) -> Column:
@@ -38,16 +41,67 @@ def remove(index: DataFrame, gone: DataFrame, key: str = "assertion_id") -> Data
     return index.join(gone.select(key).distinct(), key, "left_anti")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", match: list[str] | None = None) -> DataFrame:
+class Index:
+    """Stored vectors of one dimension and metric."""
+
+    def __init__(self, rows: DataFrame, dim: int, metric: str = "cosine"):
+        if dim < 1 or metric not in ("cosine", "l2"):
+            raise ValueError("an index needs a dimension and a metric")
+        self.rows, self.dim, self.metric = rows, dim, metric
+
+    def __len__(self) -> int:
+        return self.rows.count()
+
+    def __contains__(self, assertion_id: int) -> bool:
+        return bool(self.rows.where(F.col("assertion_id") == assertion_id).limit(1).count())
+
+    def insert(self, new: DataFrame) -> Index:
+        bad = new.withColumn("why", problems("vector", self.dim, self.metric)).where("why is not null").select("why").first()
+        if bad:
+            raise ValueError(bad["why"])
+        return Index(upsert(self.rows, prepare(new, self.dim, self.metric)), self.dim, self.metric)
+
+    def remove(self, gone: DataFrame) -> Index:
+        return Index(remove(self.rows, gone), self.dim, self.metric)
+
+    def search(self, queries: DataFrame, k: int, keep: Column | None = None, match: list[str] | None = None) -> DataFrame:
+        return search(self.rows, prepare(queries, self.dim, self.metric), k, self.metric, match, keep)
+
+    @staticmethod
+    def open(rows: DataFrame, dim: int, metric: str = "cosine") -> Index:
+        """An index of rows that all can be in it; refused with a reason otherwise."""
+        out = Index(rows, dim, metric)
+        bad = rows.withColumn("why", problems("vector", dim, "l2")).where("why is not null").select("why").first()
+        if bad:
+            raise ValueError(bad["why"])
+        if rows.groupBy("assertion_id").count().where("count > 1").limit(1).count():
+            raise ValueError("a vector id is used twice")
+        return out
+
+
+#: Bytes of query vectors that every task gets; more queries go in blocks that rows meet.
+ASKED_BYTES = 16 << 20
+
+
+def search(index: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", match: list[str] | None = None, keep: Column | None = None) -> DataFrame:
     """(query_id, rank, assertion_id, score) of each query (query_id, vector), by (score descending, id ascending).
 
-    match names columns in which a hit must equal its query. Queries are packed into
+    keep is the scope that hits must be in, match names columns in which a hit must
+    equal its query. Queries of at most ASKED_BYTES go to the rows, which stay where they
+    are read: each task gives its k best for each query. More queries are packed into
     blocks of a fixed size; a row meets a block, not a query, and each batch of rows
     gives a block's k best only, so what is shuffled is small.
     """
     match = match or []
+    index = index if keep is None else index.where(keep)
     if k <= 0:
         return index.sparkSession.createDataFrame([], "query_id long, rank int, assertion_id long, score double")
+    dim = queries.select(F.size("vector")).limit(1).collect()
+    most = max(1, ASKED_BYTES // (8 * max(1, dim[0][0] if dim else 1)))
+    told = queries.select(F.col("query_id").cast("long").alias("query_id"), F.transform("vector", lambda x: x.cast("double")).alias("vector"), *match)
+    few = told.limit(most + 1).toArrow()
+    if few.num_rows <= most:
+        return _near_rows(index, few, k, metric, match)
     groups = max(1, -(-queries.count() // BLOCK))
     packed = queries.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups))).groupBy("g").agg(F.collect_list(F.struct(F.col("query_id").cast("long").alias("query_id"), F.transform("vector", lambda x: x.cast("double")).alias("vector"), *match)).alias("asked"))
     rows = index.select(F.col("assertion_id").cast("long").alias("assertion_id"), F.transform("vector", lambda x: x.cast("double")).alias("vector"), *match)
@@ -76,3 +130,42 @@ def search(index: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     found = tasks.select("rows", "asked").mapInArrow(run, "query_id long, assertion_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "assertion_id"))
     return found.select("query_id", rank.alias("rank"), "assertion_id", "score").where(F.col("rank") <= k)
+
+
+def scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "cosine":
+        return q @ x.T
+    return -np.sqrt(np.maximum(((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0))
+
+
+def _near_rows(index: DataFrame, asked: pa.Table, k: int, metric: str, match: list[str]) -> DataFrame:
+    """search for queries that fit in every task."""
+    ids = np.asarray(asked.column("query_id"))
+    q = np.array(asked.column("vector").to_pylist(), np.float64).reshape(len(ids), -1)
+    own = [np.asarray(asked.column(m)) for m in match]
+
+    def run(batches):
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+        for b in batches:
+            flat = b.column(1).flatten()
+            x = np.asarray(flat.cast(pa.float64())).reshape(b.num_rows, -1)
+            at = np.asarray(b.column(0))
+            for low in range(0, b.num_rows, STEP):
+                part, names = x[low : low + STEP], at[low : low + STEP]
+                s = scores(q, part, metric)
+                ok = np.ones(s.shape, bool)
+                for j, m in enumerate(own):
+                    ok &= m[:, None] == np.asarray(b.column(2 + j))[low : low + STEP][None, :]
+                for i in range(len(ids)):
+                    n = np.concatenate([best[i][0], names[ok[i]]])
+                    v = np.concatenate([best[i][1], s[i, ok[i]]])
+                    top = np.lexsort((n, -v))[:k]
+                    best[i] = n[top], v[top]
+        sizes = [len(n) for n, _ in best]
+        if sum(sizes):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([n for n, _ in best])), pa.array(np.concatenate([v for _, v in best]))], ["query_id", "assertion_id", "score"])
+
+    rows = index.select(F.col("assertion_id").cast("long").alias("assertion_id"), "vector", *match)
+    found = rows.mapInArrow(run, "query_id long, assertion_id long, score double") if len(ids) else rows.select(F.lit(0).cast("long").alias("query_id"), "assertion_id", F.lit(0.0).alias("score")).where("false")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "assertion_id"))
+    return found.select("query_id", rank.alias("rank"), "assertion_id", "score").where(F.col("rank") <= k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,3 +21,11 @@ def cut(df: DataFrame, step: int = 0) -> DataFrame:
     """df, computed once and kept in the checkpoint folder, which lost executors do not touch."""
     ready(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the checkpoint folder: computed once, and what reads it later reads the columns it needs."""
+    ready(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from bitempo.functions import text as T
 from bitempo.functions.interval import contains, is_empty
 from bitempo.operators import analytics, extract, graph, mutations, remember, resolve, survivorship, temporal, vector
+from bitempo.operators.memory import Memory
+from bitempo.operators.recall import Query, recall
 from bitempo.operators.survivorship import Policy, Strategy
 from bitempo.sources import integrity, views
 
@@ -243,9 +245,73 @@ def vector_topk_filtered(spark, d):
     return _search(spark, d, 5, match=["entity"])
 
 
-@query(_topk(COSINE, 5, "q.session = b.session"))
+VV = "vv AS (SELECT CAST(label AS BIGINT) AS entity, 'topic' || (vec_id % 5) AS attribute, 'v' || vec_id AS value, vec_id * 1000 AS valid_from, CASE WHEN vec_id % 4 = 0 THEN vec_id * 1000 + 100000 END AS valid_to, vec_id * 1000 + vec_id % 7 * 5000 AS tx, CASE vec_id % 3 WHEN 0 THEN 'user_assertion' WHEN 1 THEN 'tool_output' ELSE 'agent_inference' END AS source, CAST(vec_id % 3 AS VARCHAR) AS session, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
+SCOPE_T = (300_000, 350_000)
+
+
+def _recall_sql(scope: str, horizon: str, same: str = "true") -> str:
+    return f"WITH {VV}, s AS (SELECT q.vec_id AS query_id, b.*, {COSINE} AS score FROM vv q JOIN vv b ON {same} WHERE q.vec_id % 20 = 0 AND {scope}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s), l AS (SELECT entity, attribute, max(tx) AS last FROM vv WHERE {horizon} GROUP BY 1, 2) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id AS assertion_id, round(score, 6) AS score, r.entity, r.attribute, value, r.tx, source, coalesce(last > r.tx, false) AS superseded FROM r LEFT JOIN l ON l.entity = r.entity AND l.attribute = r.attribute WHERE rank <= 5"
+
+
+def _recalled(spark, d, query: Query, match: list[str] | None = None) -> DataFrame:
+    v = views.vector_versions(spark, d)
+    x = views.vectors(spark, d).select("assertion_id", "vector")
+    asked = x.where("assertion_id % 20 = 0").withColumn("session", (F.col("assertion_id") % 3).cast("string")).withColumnRenamed("assertion_id", "query_id")
+    out = recall(v, vector.prepare(x, 64), asked, query, 64, match=match)
+    return out.select("query_id", "rank", "assertion_id", F.round("score", 6).alias("score"), "entity", "attribute", "value", "tx", "source", "superseded")
+
+
+AS_OF = f"b.tx <= {SCOPE_T[1]} AND b.valid_from <= {SCOPE_T[0]} AND (b.valid_to IS NULL OR {SCOPE_T[0]} < b.valid_to)"
+
+
+@query(_recall_sql(AS_OF, f"tx <= {SCOPE_T[1]}", "q.session = b.session"))
 def recall_as_of_scope(spark, d):
-    return _search(spark, d, 5, match=["session"])
+    return _recalled(spark, d, Query(5).as_of(*SCOPE_T), ["session"])
+
+
+@query(_recall_sql("b.source = 'tool_output' AND b.entity = 1", "true"))
+def recall_entity_source(spark, d):
+    return _recalled(spark, d, Query(5).about_entity(1).from_source("tool_output"))
+
+
+@query(_recall_sql("b.session = '2'", "true"))
+def recall_session(spark, d):
+    return _recalled(spark, d, Query(5).in_session("2"))
+
+
+BADS = "w AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN list_slice(embedding, 1, 63) WHEN vec_id % 11 = 0 THEN list_transform(embedding, lambda x: CAST(0 AS FLOAT)) WHEN vec_id % 13 = 0 THEN list_transform(embedding, lambda x, i: CASE WHEN i = 5 THEN CAST('nan' AS FLOAT) ELSE x END) ELSE embedding END AS x, vec_id % 7 = 0 AS a, vec_id % 11 = 0 AS b, vec_id % 13 = 0 AS c FROM embeddings)"
+
+
+def _spoilt(spark, d) -> DataFrame:
+    """The vectors, some of them of a wrong length, zero or not finite."""
+    v, i = views.vectors(spark, d), F.col("assertion_id")
+    spoilt = F.when(i % 7 == 0, F.slice("vector", 1, 63)).when(i % 11 == 0, F.transform("vector", lambda x: F.lit(0.0).cast("float"))).when(i % 13 == 0, F.transform("vector", lambda x, n: F.when(n == 4, F.lit(float("nan")).cast("float")).otherwise(x))).otherwise(F.col("vector"))
+    return v.withColumn("vector", spoilt)
+
+
+@query(f"WITH {BADS} SELECT vec_id AS assertion_id, CASE WHEN a THEN 'wrong dimension' WHEN b THEN 'zero vector' WHEN c THEN 'not finite at 4' END AS why FROM w")
+def vector_check(spark, d):
+    return _spoilt(spark, d).select("assertion_id", vector.problems("vector", 64).alias("why"))
+
+
+@query(f"WITH {BADS} SELECT vec_id AS assertion_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) / list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS norm FROM embeddings WHERE vec_id IN (SELECT vec_id FROM w WHERE NOT a AND NOT b AND NOT c)")
+def vector_prepare(spark, d):
+    return vector.prepare(_spoilt(spark, d), 64).select("assertion_id", F.round(vector.norm("vector"), 6).alias("norm"))
+
+
+@query("SELECT vec_id AS assertion_id, CASE WHEN vec_id % 10 = 3 THEN 'new' ELSE 'old' END AS origin FROM embeddings WHERE vec_id % 4 <> 1 UNION ALL SELECT vec_id + 1000000, 'new' FROM embeddings WHERE vec_id % 10 = 3")
+def vector_upsert_remove(spark, d):
+    """Every tenth vector is put in again and once more under a new id; then every fourth goes, but for the new ids."""
+    v = views.vectors(spark, d).select("assertion_id", "vector").withColumn("origin", F.lit("old"))
+    some = v.where("assertion_id % 10 = 3").withColumn("origin", F.lit("new"))
+    index = vector.upsert(vector.upsert(v, some), some.withColumn("assertion_id", F.col("assertion_id") + 1_000_000))
+    return vector.remove(index, v.where("assertion_id % 4 = 1")).select("assertion_id", "origin")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS len, 64 AS dim, 'cosine' AS metric, count(*) FILTER (WHERE vec_id = 7) > 0 AS has_7, false AS has_none FROM embeddings")
+def vector_index_shape(spark, d):
+    i = vector.Index.open(vector.prepare(views.vectors(spark, d).select("assertion_id", "vector"), 64), 64)
+    return spark.createDataFrame([(len(i), i.dim, i.metric, 7 in i, -1 in i)], "len long, dim int, metric string, has_7 boolean, has_none boolean")
 
 
 # walks
@@ -261,8 +327,7 @@ ALL_OF = "SELECT entity, CAST(distance AS INTEGER) AS distance, false AS truncat
 
 def _walk(spark, d, seeds: DataFrame, **options) -> DataFrame:
     e = views.edge_versions(spark, d)
-    nodes = e.select(F.col("subject").alias("entity")).unionAll(e.select(F.col("object").alias("entity")))
-    return graph.neighborhood(e, nodes, seeds, graph.Walk(LAST_EDGE, LAST_EDGE, **options))
+    return graph.neighborhood(e, None, seeds, graph.Walk(LAST_EDGE, LAST_EDGE, **options))
 
 
 def _ids(spark, d, name: str, key: str, kind: str) -> DataFrame:
@@ -303,6 +368,9 @@ NORM = "lower(trim(regexp_replace(regexp_replace({0}, '[^a-zA-Z0-9 ]', '', 'g'),
 BRAND = resolve.Blocking("exact", "brand")
 PREFIX = resolve.Blocking("prefix", "name", 3)
 TOKEN = resolve.Blocking("token", "name")
+MARK = resolve.Blocking("exact", "mark")
+#: Rules under which records of all parts match, are reviewed and fail.
+MARKED = resolve.Ruleset((resolve.Rule("name", "token_jaccard", 0.9, 0.05), resolve.Rule("type", "exact", 0.9, 0.2)), (MARK,), 0.0, 2.0)
 RULES = resolve.Ruleset((resolve.Rule("name", "token_jaccard", 0.9, 0.05),), (TOKEN,), -0.9, 3.0)
 
 
@@ -395,6 +463,67 @@ def resolve_review_band(spark, d):
     return resolve.resolve(views.name_records(spark, d), RULES)[1].withColumn("score", F.round("score", 6))
 
 
+MARKS = f"n AS (SELECT p_partkey AS id, string_split({NORM.format('p_name')}, ' ') AS w, p_type AS type, p_brand || ' ' || p_size AS mark FROM part), p AS (SELECT x.id AS a, y.id AS b, len(list_filter(x.w, lambda z: list_contains(y.w, z))) AS shared, len(x.w) + len(y.w) AS total, x.type = y.type AS same FROM n x JOIN n y ON x.mark = y.mark AND x.id < y.id), j AS (SELECT a, b, shared / CAST(total - shared AS DOUBLE) AS sim, same FROM p), s AS (SELECT a, b, sim * log2(0.9 / 0.05) + (1 - sim) * log2((1 - 0.9) / (1 - 0.05)) + CASE WHEN same THEN log2(0.9 / 0.2) ELSE log2((1 - 0.9) / (1 - 0.2)) END AS score FROM j)"
+MBAND = "CASE WHEN score >= 2.0 THEN 'match' WHEN score >= 0.0 THEN 'review' ELSE 'non_match' END"
+MCLUSTERS = f"WITH RECURSIVE {MARKS}, g AS (SELECT a, b FROM s WHERE {MBAND} = 'match' UNION ALL SELECT b, a FROM s WHERE {MBAND} = 'match'), c AS (SELECT id, id AS other FROM n UNION SELECT c.id, g.b FROM c JOIN g ON g.a = c.other), l AS (SELECT id, min(other) AS cluster FROM c GROUP BY 1)"
+
+
+@query(f"WITH {MARKS} SELECT a, b, round(score, 6) AS score, {MBAND} AS decision FROM s")
+def score_parts(spark, d):
+    return resolve.scored_pairs(views.part_marks(spark, d), MARKED).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {MARKS} SELECT {MBAND} AS decision, count(*) AS pairs FROM s GROUP BY 1")
+def decide_parts(spark, d):
+    return resolve.scored_pairs(views.part_marks(spark, d), MARKED).groupBy("decision").agg(F.count("*").alias("pairs"))
+
+
+@query(MCLUSTERS + " SELECT id, cluster FROM l")
+def resolve_parts(spark, d):
+    return resolve.resolve(views.part_marks(spark, d), MARKED)[0]
+
+
+@query(MCLUSTERS + f" SELECT s.a, s.b, round(s.score, 6) AS score FROM s JOIN l x ON x.id = s.a JOIN l y ON y.id = s.b WHERE {MBAND} = 'review' AND x.cluster <> y.cluster")
+def review_parts(spark, d):
+    return resolve.resolve(views.part_marks(spark, d), MARKED)[1].withColumn("score", F.round("score", 6))
+
+
+@query(MCLUSTERS + ", f AS (SELECT s.a, s.b FROM s JOIN l x ON x.id = s.a JOIN l y ON y.id = s.b WHERE " + MBAND + " = 'review' AND x.cluster <> y.cluster) SELECT a, b FROM f WHERE (a + b) % 2 = 0")
+def reject_parts(spark, d):
+    """The rejected pairs after every second review is settled as different."""
+    review = resolve.resolve(views.part_marks(spark, d), MARKED)[1].withColumn("review", F.xxhash64("a", "b"))
+    return mutations.reject(review, spark.createDataFrame([], "a long, b long"), review.where("(a + b) % 2 = 0"))[1]
+
+
+@query("WITH p AS (SELECT p_partkey AS mention, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS first FROM part) SELECT mention, dense_rank() OVER (ORDER BY first) AS entity, CASE WHEN mention = first THEN 'created' ELSE 'merged' END AS outcome FROM p")
+def remember_exact(spark, d):
+    """Mentions that agree in name and brand are one entity, numbered by its first mention."""
+    rules = resolve.Ruleset((resolve.Rule("name", "exact", 0.9, 0.05), resolve.Rule("brand", "exact", 0.9, 0.1)), (PREFIX, BRAND), 6.0, 6.0)
+    rules = resolve.Ruleset(rules.rules, (resolve.Blocking("exact", "key"),), 6.0, 6.0)
+    parts = views.part_records(spark, d).select("id", F.map_concat("record", F.create_map(F.lit("key"), F.concat_ws(" ", F.col("record")["name"], F.col("record")["brand"]))).alias("record"))
+    return remember.remember(parts, rules)[0]
+
+
+@query("WITH p AS (SELECT p_partkey AS mention, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS first FROM part) SELECT mention, dense_rank() OVER (ORDER BY first) AS entity, CASE WHEN mention = first THEN 'created' ELSE 'merged' END AS outcome FROM p")
+def remember_two_batches(spark, d):
+    """remember_exact in two batches: the second meets the entities that the first left."""
+    rules = resolve.Ruleset((resolve.Rule("name", "exact", 0.9, 0.05), resolve.Rule("brand", "exact", 0.9, 0.1)), (resolve.Blocking("exact", "key"),), 6.0, 6.0)
+    parts = views.part_records(spark, d).select("id", F.map_concat("record", F.create_map(F.lit("key"), F.concat_ws(" ", F.col("record")["name"], F.col("record")["brand"]))).alias("record"))
+    half = parts.agg(F.expr("max(id) div 2")).first()[0]
+    one = remember.remember_into(parts.where(F.col("id") <= half), rules)
+    two = remember.remember_into(parts.where(F.col("id") > half), rules, one.identity)
+    return one.told.unionByName(two.told)
+
+
+@query("SELECT p_partkey AS id, 1 AS form, p_name AS owner, p_type AS head FROM part UNION ALL SELECT p_partkey, 2, 'Their', p_name FROM part UNION ALL SELECT p_partkey, 3, NULL, p_name FROM part UNION ALL SELECT p_partkey, 4, p_name || 's', p_type FROM part UNION ALL SELECT p_partkey, 5, NULL, 'O' || chr(39) || p_name FROM part")
+def possessive_parts(spark, d):
+    """Owners and heads of phrases made of names, in five forms."""
+    n, t = F.col("p_name"), F.col("p_type")
+    forms = [F.concat(n, F.lit("'s "), t), F.concat(F.lit("  Their\t"), n), n, F.concat(n, F.lit("s\u2019  "), t), F.concat(F.lit("O'"), n)]
+    p = views.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.posexplode(F.array(*forms)).alias("form", "phrase"))
+    return p.select("id", (F.col("form") + 1).alias("form"), T.possessive_parts(F.col("phrase")).alias("x")).select("id", "form", "x.owner", "x.head")
+
+
 @query()
 def remember_incremental(spark, d):
     return remember.remember(views.part_names(spark, d), RULES)[0]
@@ -416,6 +545,17 @@ def _merged(spark, d) -> DataFrame:
     return c.select((F.col("c_custkey") + 10_000_000).alias("absorbed"), (F.col("c_custkey") + 9_999_999).alias("kept"))
 
 
+@query(f"WITH {EDGES}, {MERGED}, m AS (SELECT coalesce(x.kept, subject) AS subject, predicate, coalesce(y.kept, object) AS object, seq, tx, present, CASE WHEN x.kept IS NULL AND y.kept IS NULL THEN 0 ELSE 1 END AS origin, subject AS s0, object AS o0 FROM e LEFT JOIN mg x ON x.absorbed = e.subject LEFT JOIN mg y ON y.absorbed = e.object), z AS (SELECT *, count(DISTINCT CAST(s0 AS VARCHAR) || '/' || CAST(o0 AS VARCHAR)) OVER (PARTITION BY subject, predicate, object) AS many FROM m WHERE subject <> object) SELECT subject, predicate, object, CAST(CASE WHEN many > 1 THEN row_number() OVER (PARTITION BY subject, predicate, object ORDER BY tx, origin, s0, o0, seq) - 1 ELSE seq END AS BIGINT) AS seq, present, tx FROM z")
+def repoint_logs(spark, d):
+    """Whole logs after the merges, in their order."""
+    return mutations.repoint_edges(views.edge_versions(spark, d), _merged(spark, d)).select("subject", "predicate", "object", "seq", "present", "tx")
+
+
+@query(f"WITH {EDGES}, {MERGED}, t AS (SELECT DISTINCT subject, predicate, object FROM e), m AS (SELECT mg.kept, t.* FROM t JOIN mg ON mg.absorbed = t.subject UNION SELECT mg.kept, t.* FROM t JOIN mg ON mg.absorbed = t.object) SELECT kept, count(*) AS moved FROM m GROUP BY 1")
+def repoint_counts(spark, d):
+    return mutations.repointed(views.edge_versions(spark, d), _merged(spark, d))
+
+
 @query(f"WITH {EDGES}, {MERGED} SELECT DISTINCT coalesce(x.kept, subject) AS subject, predicate, coalesce(y.kept, object) AS object FROM e LEFT JOIN mg x ON x.absorbed = e.subject LEFT JOIN mg y ON y.absorbed = e.object WHERE coalesce(x.kept, subject) <> coalesce(y.kept, object)")
 def repoint_edges(spark, d):
     return mutations.repoint_edges(views.edge_versions(spark, d), _merged(spark, d)).select("subject", "predicate", "object").distinct()
@@ -445,11 +585,132 @@ def erase_edges(spark, d):
     return mutations.erase_edges(views.edge_versions(spark, d), gone)[0].select("subject", "predicate", "object", "seq", "present")
 
 
-@query()
+CHAIN = "SELECT c_custkey AS absorbed, c_custkey - c_custkey % 3 AS kept FROM customer WHERE c_custkey % 3 > 0"
+
+
+def _memory(spark, d) -> Memory:
+    """Customers as entities with their order logs, names as identity, and reviews that chain three by three."""
+    c = views.table(spark, d, "customer")
+    m = Memory.empty(spark)
+    entities = c.select(F.col("c_custkey").alias("entity"), F.lit("customer").alias("kind"), F.lit(0).cast("long").alias("created_at"))
+    identity = c.select(F.col("c_custkey").alias("entity"), F.when(F.col("c_custkey") % 3 == 0, F.create_map(F.lit("name"), F.col("c_name"))).otherwise(F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment"))).alias("record"))
+    reviews = c.where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("review"), (F.col("c_custkey") - 1).alias("a"), F.col("c_custkey").alias("b"), F.lit(1.0).alias("score"))
+    reviews = reviews.unionByName(c.where("c_custkey % 6 = 0 and c_custkey > 2").select((F.col("c_custkey") + 10_000_000).alias("review"), (F.col("c_custkey") - 2).alias("a"), (F.col("c_custkey") + 1).alias("b"), F.lit(2.0).alias("score")))
+    rejected = c.where("c_custkey % 6 = 1 and c_custkey > 2").select((F.col("c_custkey") - 2).alias("a"), F.col("c_custkey").alias("b"))
+    versions = mutations.filled(views.order_versions(spark, d), m.versions).select(*m.versions.columns)
+    return Memory(entities, versions, m.edges, identity, m.vectors, reviews, rejected)
+
+
+def _confirmed(spark, d) -> Memory:
+    m = _memory(spark, d)
+    return m.confirm(m.reviews.where("review < 10000000").select("review"))
+
+
+@query(f"WITH {VO}, mg AS ({CHAIN}) SELECT coalesce(kept, entity) AS entity, attribute, row_number() OVER (PARTITION BY coalesce(kept, entity), attribute ORDER BY entity, seq) - 1 AS seq, state, value, tx FROM vo LEFT JOIN mg ON absorbed = entity")
 def confirm_merge(spark, d):
-    v = views.order_versions(spark, d).withColumn("entity", F.col("entity") + 10_000_000)
-    empty = spark.createDataFrame([], "review long, a long, b long, score double")
-    return mutations.confirm(v, views.edge_versions(spark, d), empty, _merged(spark, d))[0].select("entity", "attribute", "seq", "state", "value", "tx")
+    """Logs after chains of merges: the survivor's own versions come first."""
+    return _confirmed(spark, d).versions.select("entity", "attribute", "seq", "state", "value", "tx")
+
+
+@query("SELECT c_custkey AS entity, c_name AS name, (SELECT s.c_mktsegment FROM customer s WHERE s.c_custkey BETWEEN c.c_custkey + 1 AND c.c_custkey + 2 ORDER BY s.c_custkey LIMIT 1) AS segment FROM customer c WHERE c_custkey % 3 = 0")
+def confirm_identity(spark, d):
+    """Identity after chains of merges: fields as first spelt, new ones from the absorbed."""
+    return _confirmed(spark, d).identity.select("entity", F.col("record")["name"].alias("name"), F.col("record")["segment"].alias("segment"))
+
+
+@query("SELECT DISTINCT CAST(a - a % 3 AS BIGINT) AS a, CAST(b - b % 3 AS BIGINT) AS b, 'review' AS what FROM (SELECT c_custkey - 2 AS a, c_custkey + 1 AS b FROM customer WHERE c_custkey % 6 = 0 AND c_custkey > 2) WHERE b <= (SELECT max(c_custkey) + 1 FROM customer) UNION ALL SELECT DISTINCT CAST(c_custkey - 2 - (c_custkey - 2) % 3 AS BIGINT), CAST(c_custkey - c_custkey % 3 AS BIGINT), 'rejected' FROM customer WHERE c_custkey % 6 = 1 AND c_custkey > 2")
+def confirm_pairs(spark, d):
+    """Open reviews and rejected pairs after chains of merges name the survivors."""
+    m = _confirmed(spark, d)
+    return m.reviews.select("a", "b", F.lit("review").alias("what")).unionByName(m.rejected.select("a", "b", F.lit("rejected").alias("what")))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS entities, CAST(min(c_custkey) AS BIGINT) AS first, CAST(max(c_custkey) AS BIGINT) AS last FROM customer WHERE c_custkey % 3 = 0")
+def entity_count(spark, d):
+    """What resolution knows after the merges: absorbed entities are none."""
+    return _confirmed(spark, d).entity_ids().agg(F.count("*").alias("entities"), F.min("entity").alias("first"), F.max("entity").alias("last"))
+
+
+@query("SELECT c_custkey AS entity, c_name AS name FROM customer WHERE c_custkey = 42")
+def identity_of(spark, d):
+    return _memory(spark, d).identity_of(42).select("entity", F.col("record")["name"].alias("name"))
+
+
+@query("SELECT c_custkey AS entity, 'customer' AS kind FROM customer WHERE c_custkey = 7")
+def entity_lookup(spark, d):
+    return temporal.entity(_memory(spark, d).entities, 7).select("entity", "kind")
+
+
+@query("SELECT c_custkey AS review, c_custkey - 1 AS a, x.c_name AS a_name, c.c_custkey AS b, c.c_name AS b_name FROM customer c JOIN (SELECT c_custkey AS k, c_name FROM customer) x ON x.k = c.c_custkey - 1 WHERE c_custkey % 3 > 0")
+def pending_review(spark, d):
+    m = _memory(spark, d)
+    return m.named_reviews().where("review < 10000000").select("review", "a", "a_name", "b", "b_name")
+
+
+WRITTEN = "SELECT CAST(label AS BIGINT) AS entity, 'topic' || (vec_id % 5) AS attribute, vec_id, row_number() OVER (ORDER BY vec_id) AS assertion_id FROM embeddings"
+
+
+def _written(spark, d) -> Memory:
+    """The vectors written as assertions, in the order of their ids."""
+    v = views.vector_versions(spark, d).drop("seq", "assertion_id")
+    x = views.table(spark, d, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("value"), F.col("vec_id").alias("at"), F.transform("embedding", lambda c: c.cast("double")).alias("vector"))
+    m = Memory.empty(spark)
+    entities = v.select("entity").distinct().select("entity", F.lit("topic").alias("kind"), F.lit(0).cast("long").alias("created_at"))
+    return Memory(entities, m.versions, m.edges, m.identity, m.vectors, m.reviews, m.rejected).write(v.join(x, "value"), ["at"])
+
+
+@query(f"WITH w AS ({WRITTEN}) SELECT entity, attribute, row_number() OVER (PARTITION BY entity, attribute ORDER BY tx, assertion_id) - 1 AS seq, assertion_id, 'v' || w.vec_id AS value, true AS has_vector FROM w JOIN (SELECT vec_id, vec_id * 1000 + vec_id % 7 * 5000 AS tx FROM embeddings) t USING (vec_id)")
+def write_assertions(spark, d):
+    """Version, vector and assertion of each write stand together."""
+    m = _written(spark, d)
+    return m.versions.join(m.vectors.select("assertion_id", F.lit(True).alias("has_vector")), "assertion_id", "left").select("entity", "attribute", "seq", "assertion_id", "value", "has_vector")
+
+
+@query(f"WITH w AS ({WRITTEN}) SELECT assertion_id FROM w WHERE NOT (entity = 1 AND attribute = 'topic2')")
+def erase_with_vectors(spark, d):
+    """The vectors left after an attribute of an entity is erased."""
+    m = _written(spark, d)
+    return m.erase(spark.createDataFrame([(1, "topic2")], "entity long, attribute string"))[0].vectors.select("assertion_id")
+
+
+@query("WITH m AS (SELECT max(c_custkey) AS top FROM customer) SELECT s_suppkey, top + 1 + row_number() OVER (ORDER BY s_suppkey) - 1 AS entity FROM supplier, m")
+def create_entities(spark, d):
+    known = views.table(spark, d, "customer").select(F.col("c_custkey").alias("entity"))
+    return mutations.create_entities(known, views.table(spark, d, "supplier").select("s_suppkey"), "s_suppkey")
+
+
+AT = 884217600000
+
+
+@query(f"WITH {EDGES}, r AS (SELECT r_regionkey AS object, n_nationkey + 1000 AS subject FROM region, nation) SELECT subject, predicate, object, CAST(seq AS BIGINT) AS seq, present FROM e WHERE predicate = 'in_region' UNION ALL SELECT r.subject, 'in_region', CAST(r.object AS BIGINT), CASE WHEN n.n_nationkey IS NULL THEN 0 ELSE 1 END, true FROM r LEFT JOIN nation n ON n.n_nationkey + 1000 = r.subject AND n.n_regionkey = r.object")
+def relate_edges(spark, d):
+    """Every nation is put in every region: a second version where it is one already."""
+    e = views.edge_versions(spark, d).where("predicate = 'in_region'")
+    s, o = e.select("subject").distinct(), _ids(spark, d, "region", "r_regionkey", "region").withColumnRenamed("entity", "object")
+    new = s.join(o).select("subject", F.lit("in_region").alias("predicate"), "object", F.lit(AT).alias("valid_from"), F.lit(None).cast("long").alias("valid_to"), F.lit(AT).alias("tx"))
+    ends = s.select(F.col("subject").alias("entity")).unionAll(o.select("object"))
+    return mutations.relate(e, new, ends).select("subject", "predicate", "object", "seq", "present")
+
+
+@query("SELECT n_nationkey + 1000 AS subject, 'in_region' AS predicate, CAST(n_regionkey AS BIGINT) AS object FROM nation WHERE n_nationkey % 2 = 1")
+def unrelate_edges(spark, d):
+    """In force after every second nation is taken out of its region."""
+    e = views.edge_versions(spark, d).where("predicate = 'in_region'")
+    return temporal.in_force(mutations.unrelate(e, e.where("subject % 2 = 0"), AT), AT, AT)
+
+
+@query(f"WITH {EDGES}, gone AS (SELECT s_suppkey + 100000 AS id FROM supplier WHERE s_acctbal < 0), t AS (SELECT DISTINCT subject, predicate, object FROM e), x AS (SELECT subject AS entity, t.* FROM t UNION SELECT object, t.* FROM t) SELECT entity, count(*) AS erased FROM x WHERE entity IN (SELECT id FROM gone) GROUP BY 1")
+def erase_edges_counts(spark, d):
+    gone = views.table(spark, d, "supplier").where("s_acctbal < 0").select((F.col("s_suppkey") + 100_000).alias("entity"))
+    return mutations.erase_edges(views.edge_versions(spark, d), gone)[1]
+
+
+@query(f"WITH {EDGES}, c AS (SELECT subject, predicate, max(valid_from) AS ends FROM e WHERE predicate = 'supplied_by' GROUP BY 1, 2), v AS (SELECT e.*, c.ends, row_number() OVER (PARTITION BY e.subject, e.predicate, e.object ORDER BY e.tx DESC, e.seq DESC) AS r FROM e JOIN c ON c.subject = e.subject AND c.predicate = e.predicate WHERE valid_from <= ends) SELECT subject, predicate, object, ends AS valid_from FROM v WHERE r = 1 AND present")
+def close_edges(spark, d):
+    """What ends when each part's supplies are closed at its last change."""
+    e = views.edge_versions(spark, d).where("predicate = 'supplied_by'")
+    closures = e.groupBy("subject", "predicate").agg(F.max("valid_from").alias("at"))
+    return mutations.close_edges(e, closures, e.where("false"))
 
 
 @query(CLUSTERS + f" SELECT s.a, s.b FROM s JOIN l x ON x.id = s.a JOIN l y ON y.id = s.b WHERE {BAND} = 'review' AND x.cluster <> y.cluster")
@@ -458,6 +719,45 @@ def reject_pair(spark, d):
     return mutations.reject(review, spark.createDataFrame([], "a long, b long"), review)[1]
 
 
+# more of survivorship
+
+
+def _survivor_sql(refused: str = "m.state <> 'refused'") -> str:
+    return f"WITH {VO}, m AS ({_recent('vo')}) SELECT entity, attribute, value FROM m WHERE {refused}"
+
+
+@query(_survivor_sql())
+def survivor_value(spark, d):
+    return survivorship.survivor(views.order_versions(spark, d), Strategy.MOST_RECENT)
+
+
+@query(f"WITH {VO}, {_timeline('vo')} SELECT entity, attribute, CASE WHEN count(*) = 1 THEN min(value) END AS value FROM tl GROUP BY 1, 2 HAVING max(state = 'refused') = false")
+def survivor_of_timeline(spark, d):
+    """A timeline has a survivor only if it is a single fact."""
+    return survivorship.survivor(views.order_versions(spark, d), Strategy.VALID_INTERVAL)
+
+
+@query(f"WITH {VO}, {_timeline('vo')}, k AS (SELECT DISTINCT entity, attribute FROM vo) SELECT k.entity, k.attribute, t.value FROM k LEFT JOIN (SELECT * FROM tl WHERE opens <= {MID} AND (closes IS NULL OR {MID} < closes)) t ON t.entity = k.entity WHERE k.entity NOT IN (SELECT entity FROM tl WHERE state = 'refused')")
+def outcome_as_of(spark, d):
+    return survivorship.outcome_as_of(views.order_versions(spark, d), Strategy.VALID_INTERVAL, MID)
+
+
+@query(f"WITH {VO}, {_timeline('vo')}, l AS (SELECT entity, max(tx) AS tx FROM vo GROUP BY 1), s AS (SELECT vo.entity, max(seq) AS seq FROM vo JOIN l ON l.entity = vo.entity AND l.tx = vo.tx GROUP BY 1) SELECT tl.entity, tl.attribute, tl.state, tl.value, opens AS valid_from, closes AS valid_to, l.tx, s.seq FROM tl JOIN l ON l.entity = tl.entity JOIN s ON s.entity = tl.entity WHERE tl.state <> 'refused'")
+def assert_resolved_timeline(spark, d):
+    return survivorship.assert_resolved(views.order_versions(spark, d), Strategy.VALID_INTERVAL)
+
+
+@query("SELECT * FROM (VALUES ('most_complete', false), ('longest_value', false), ('majority_vote', false), ('confidence_majority', false), ('first_non_null', false), ('unanimous_or_null', false), ('most_recent', true), ('source_priority', true), ('valid_interval', true)) t(strategy, needs_provenance)")
+def strategy_needs(spark, d):
+    return spark.createDataFrame([(s.value, s.needs_provenance) for s in Strategy], "strategy string, needs_provenance boolean")
+
+
+@query(_as_of_sql("ve", VE, VALID_T, TX_T).replace("SELECT k.entity, k.attribute, coalesce(top.state, 'unknown') AS state, top.value FROM", "SELECT k.entity, k.attribute, top.state IS NOT NULL AS known, top.value FROM"))
+def known_values(spark, d):
+    a = temporal.as_of(views.event_versions(spark, d), VALID_T, TX_T)
+    return a.select("entity", "attribute", temporal.is_known().alias("known"), temporal.value_of().alias("value"))
+
+
 # extraction and ingestion
 
 
@@ -473,7 +773,8 @@ def extract_salvage(spark, d):
 @query("SELECT conv_id AS session, turn AS position, conv_id * 1000 + turn AS days_none, CASE WHEN turn < 0 THEN NULL ELSE conv_id * 1000 + turn - turn * 86400000 END AS days_turn FROM conversations")
 def days_ago(spark, d):
     t = _turns(spark, d)
-    return t.select("session", "position", F.col("observed_at").alias("days_none"), F.when(F.col("position") >= 0, F.col("observed_at") - F.col("position") * 86400000).alias("days_turn"))
+    none = F.lit(None).cast("long")
+    return t.select("session", "position", extract.days_ago(none, F.col("observed_at")).alias("days_none"), extract.days_ago(F.col("position"), F.col("observed_at")).alias("days_turn"))
 
 
 @query()
@@ -490,6 +791,39 @@ def closures_applied(spark, d):
     return ingest(_turns(spark, d), extract.stub_completer).edges
 
 
+@query("WITH t AS (SELECT conv_id AS session, turn AS position, role, text FROM conversations) SELECT session, position, EXISTS (SELECT 1 FROM t o WHERE o.session % 2 = 0 AND o.role = t.role AND o.text = t.text) AS cached FROM t")
+def response_cache(spark, d):
+    """Which turns need no completion once the even sessions' are cached."""
+    t = _turns(spark, d)
+    cache = extract.responses(t.where("session % 2 = 0"), extract.stub_completer)[1]
+    answered, _ = extract.responses(t, extract.stub_completer, cache)
+    return answered.join(cache.select("asked", F.lit(True).alias("hit")), "asked", "left").select("session", "position", F.coalesce("hit", F.lit(False)).alias("cached"))
+
+
+@query("WITH c AS (SELECT conv_id AS session, turn AS position FROM conversations) SELECT session, position, 'facts' AS section, 0 AS item, 'subject names no mention' AS why FROM c WHERE position % 3 = 0 UNION ALL SELECT session, position, 'relations', 0, 'an edge to itself' FROM c WHERE position % 4 = 0 UNION ALL SELECT session, position, 'mentions', 1, 'a mention without a name' FROM c WHERE position % 5 = 0")
+def validate_items(spark, d):
+    """Extractions given whole, some with a fact of no mention, an edge to itself or a nameless mention."""
+    t, p = views.turns(spark, d).select("session", "position"), F.col("position")
+    row = lambda section, item, subject, object_, name: F.struct(F.lit(section).alias("section"), F.lit(item).alias("item"), subject.cast("int").alias("subject"), object_.cast("int").alias("object"), name.alias("name"))
+    none, text = F.lit(None).cast("int"), F.lit(None).cast("string")
+    items = F.array(row("mentions", 0, none, none, F.lit("A")), row("mentions", 1, none, none, F.when(p % 5 == 0, " ").otherwise("B")), row("facts", 0, F.when(p % 3 == 0, 2).otherwise(1), none, text), row("relations", 0, F.lit(0), F.when(p % 4 == 0, 0).otherwise(1), text), row("closures", 0, F.lit(1), none, text))
+    return extract.validate(t.select("session", "position", F.inline(items)))
+
+
+@query("WITH r AS (SELECT vec_id % 9 AS a, label % 3 AS ka, label % 2 AS kb FROM embeddings) SELECT CAST(count(*) AS BIGINT) AS pairs, CAST(count(*) FILTER (WHERE ka <> kb) AS BIGINT) AS different FROM r")
+def kind_mismatch(spark, d):
+    e = views.table(spark, d, "embeddings")
+    a, b = F.col("vec_id") * 2, F.col("vec_id") * 2 + 1
+    kinds = e.select(a.alias("id"), (F.col("label") % 3).alias("kind")).unionAll(e.select(b, F.col("label") % 2))
+    return analytics.kind_mismatch(e.select(a.alias("a"), b.alias("b")), kinds)
+
+
+@query(_topk(COSINE, 10).replace("WITH v AS", "WITH h AS (WITH v AS", 1) + ") SELECT query_id, count(*) FILTER (WHERE rank <= 7) / CAST(count(*) AS DOUBLE) AS recall FROM h GROUP BY 1")
+def recall_against_exact(spark, d):
+    """The share of the ten nearest that the seven nearest hold."""
+    return analytics.overlap(_search(spark, d, 7), _search(spark, d, 10))
+
+
 @query()
 def response_shape(spark, d):
     return analytics.response_shape(extract.extract(_turns(spark, d), extract.stub_completer))

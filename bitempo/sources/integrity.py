@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitempo.operators.memory import Memory
 from bitempo.sources import views
 
 
@@ -33,6 +34,12 @@ class Store:
         return Store(entities, versions, edges, entities, vectors.select("assertion_id", F.col("entity").cast("long").alias("entity")), vectors.select("assertion_id", "vector"), spark.createDataFrame([], "review long, a long, b long, score double"))
 
 
+def of_memory(m: Memory) -> Store:
+    """A memory's tables as they are checked."""
+    held = m.versions.where("assertion_id is not null").select("assertion_id", "entity")
+    return Store(m.entities.select("entity"), m.versions, m.edges, m.identity.select("entity"), held, m.vectors, m.reviews)
+
+
 def violations(s: Store) -> DataFrame:
     """(check, rows) for each rule that some rows break; no rows for a sound store."""
     known = s.entities.select("entity").distinct()
@@ -52,6 +59,9 @@ def violations(s: Store) -> DataFrame:
         "a vector that is not finite": s.vectors.where(F.exists("vector", lambda x: x.isNull() | F.isnan(x))),
         "a review of no entity": lost(s.reviews, "a").unionAll(lost(s.reviews, "b")),
         "a review out of order": s.reviews.where("a >= b"),
+        "a review id used twice": twice(s.reviews, ["review"]),
+        "an assertion id used twice": twice(s.assertions, ["assertion_id"]),
+        "an entity twice": twice(s.entities, ["entity"]) if s.entities is not s.identity else s.entities.where("false"),
     }
     rows = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("check"), "rows") for name, df in checks.items()]
     return reduce(DataFrame.unionAll, rows).where("rows > 0")

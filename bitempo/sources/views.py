@@ -81,3 +81,16 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session, position, speaker, text)."""
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("position"), F.col("role").alias("speaker"), "text")
+
+
+def vector_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as an assertion of a topic of its label; every fourth is valid for a while only."""
+    e, i = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    source = F.when(i % 3 == 0, "user_assertion").when(i % 3 == 1, "tool_output").otherwise("agent_inference")
+    return e.select(F.col("label").cast("long").alias("entity"), F.concat(F.lit("topic"), (i % 5).cast("string")).alias("attribute"), i.alias("seq"), F.lit("value").alias("state"), F.concat(F.lit("v"), i.cast("string")).alias("value"), (i * 1000).alias("valid_from"), F.when(i % 4 == 0, i * 1000 + 100_000).alias("valid_to"), (i * 1000 + i % 7 * 5000).alias("tx"), source.alias("source"), (i % 3).cast("string").alias("session"), i.alias("assertion_id"))
+
+
+def part_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, record): each part with its name, its type, and its brand, size and price band as the mark that it is blocked on."""
+    mark = F.concat_ws(" ", "p_brand", F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.create_map(F.lit("name"), F.col("p_name"), F.lit("type"), F.col("p_type"), F.lit("mark"), mark).alias("record"))

@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitempo.operators import mutations, vector
 from bitempo.operators.extract import extract
-from bitempo.operators.remember import remember
+from bitempo.operators.memory import SCHEMAS, Memory, _next
+from bitempo.operators.remember import remember_into
 from bitempo.operators.resolve import Blocking, Rule, Ruleset
 from bitempo.plans.loops import cut
-from bitempo.schema import TRIPLE
+from bitempo.plans.numbering import number
+from bitempo.schema import LOG, TRIPLE
 
 #: The shipped rules for mentions.
 RULES = Ruleset((Rule("name", "possessive_aware", 0.9, 0.01), Rule("kind", "exact", 0.9, 0.38)), (Blocking("prefix", "name", 3),), 5.2439, 7.2439)
@@ -20,67 +25,112 @@ RULES = Ruleset((Rule("name", "possessive_aware", 0.9, 0.01), Rule("kind", "exac
 
 @dataclass
 class Ingested:
+    """What the turns add, and the memory after them."""
+
     versions: DataFrame
     edges: DataFrame
     reviews: DataFrame
     dropped: DataFrame
+    told: DataFrame
+    memory: Memory
 
 
-def ingest(turns: DataFrame, completer: Callable[[str, str | None], str], ruleset: Ruleset = RULES) -> Ingested:
-    """Rows written by the turns, in their order (observed_at, session, position).
+def ingest(turns: DataFrame, completer: Callable[[str, str | None], str], ruleset: Ruleset = RULES, memory: Memory | None = None, embedder: Callable[[str], list[float]] | None = None) -> Ingested:
+    """Rows written by the turns, in their order (observed_at, session, position), behind those of a memory.
 
     What a turn states is from a tool at the instant it was observed; a closure is an
-    inference, spares what its own turn asserts, and ends an edge from its instant.
+    inference, spares what its own turn asserts, and ends the edges in force at its
+    instant among all that the memory and the turns before hold. With an embedder,
+    mentions and facts are stored with the vector of their text, or the whole batch is
+    refused before anything is written. Two batches give what one gives, if the turns of
+    the first come before those of the second.
     """
+    spark = turns.sparkSession
+    memory = Memory.empty(spark) if memory is None else memory
     items = cut(extract(turns, completer))
     observed = turns.select("session", "position", "observed_at")
     ok = items.where("why is null").join(observed, ["session", "position"])
-    # a mention's id keeps the order of turns and of mentions in them
-    place = F.row_number().over(_order())
-    mentions = cut(ok.where("section = 'mentions'").withColumn("id", place.cast("long")))
+    mentions = cut(number(ok.where("section = 'mentions'"), ORDER, "id"))
     records = mentions.select("id", F.create_map(F.lit("name"), F.col("name"), F.lit("kind"), F.col("kind")).alias("record"))
-    told, reviews = remember(records, ruleset)
-    who = cut(mentions.join(told, F.col("id") == F.col("mention")).select("session", "position", "item", "entity", "kind"))
-    at = lambda c, name: who.select("session", "position", F.col("item").alias(c), F.col("entity").alias(name))
-    kinds = who.join(observed, ["session", "position"]).select("entity", F.lit("kind").alias("attribute"), F.col("kind").alias("value"), F.col("observed_at").alias("valid_from"), F.col("observed_at").alias("tx"), "session", "position", F.lit(0).alias("section"), "item")
-    facts = ok.where("section = 'facts'").join(at("subject", "entity"), ["session", "position", "subject"]).select("entity", "attribute", "value", F.col("at").alias("valid_from"), F.col("observed_at").alias("tx"), "session", "position", F.lit(1).alias("section"), "item")
-    both = kinds.unionByName(facts)
-    seq = F.row_number().over(_log().orderBy("tx", "session", "position", "section", "item")) - 1
-    versions = both.select("entity", "attribute", seq.cast("long").alias("seq"), F.when(F.col("value").isNull(), "absent").otherwise("value").alias("state"), "value", "valid_from", F.lit(None).cast("long").alias("valid_to"), "tx", F.lit("tool_output").alias("source"), F.col("session").cast("string").alias("session"))
+    next_entity = _next(memory.entities, "entity")
+    got = remember_into(records, ruleset, memory.identity, memory.rejected, next_entity, _next(memory.reviews, "review"))
+    told = cut(mentions.join(got.told, F.col("id") == F.col("mention")).select("session", "position", "item", "entity", "kind", "name", "text", "outcome", "observed_at"))
+    at = lambda c, name: told.select("session", "position", F.col("item").alias(c), F.col("entity").alias(name))
+    created = told.where("outcome <> 'merged'").select("entity", "kind", F.col("observed_at").alias("created_at"))
+    kinds = told.select("entity", F.lit("kind").alias("attribute"), F.col("kind").alias("value"), "text", F.col("observed_at").alias("valid_from"), "observed_at", "session", "position", F.lit(0).alias("section"), "item")
+    facts = ok.where("section = 'facts'").join(at("subject", "entity"), ["session", "position", "subject"]).select("entity", "attribute", "value", "text", F.col("at").alias("valid_from"), "observed_at", "session", "position", F.lit(1).alias("section"), "item")
+    rows = kinds.unionByName(facts).select("*", F.when(F.col("value").isNull(), "absent").otherwise("value").alias("state"), F.lit(None).cast("long").alias("valid_to"), F.col("observed_at").alias("tx"), F.lit("tool_output").alias("source"))
+    rows = number(rows, ["observed_at", "session", "position", "section", "item"], "assertion_id", max(_next(memory.vectors, "assertion_id"), _next(memory.versions, "assertion_id")))
+    rows = cut(rows.withColumn("session", F.col("session").cast("string")))
+    vectors = memory.vectors
+    if embedder is not None:
+        vectors = vectors.unionByName(embedded(rows.select("assertion_id", "text"), embedder, memory.dim, memory.metric))
+    fresh = rows.withColumn("seq", F.col("assertion_id"))
+    versions = mutations.append(memory.versions, fresh if embedder is not None else fresh.withColumn("assertion_id", F.lit(None).cast("long")), LOG)
+    edges = cut(related(ok, at, memory.edges))
+    after = Memory(memory.entities.unionByName(created), versions, edges, got.identity, vectors, memory.reviews.unionByName(got.reviews), memory.rejected, memory.dim, memory.metric)
+    return Ingested(versions, edges, got.reviews, items.where("why is not null"), told, after)
+
+
+ORDER = ["observed_at", "session", "position", "item"]
+
+
+def embedded(rows: DataFrame, embedder: Callable[[str], list[float]], dim: int, metric: str) -> DataFrame:
+    """(assertion_id, vector) of rows (assertion_id, text); each is checked, and one that cannot be stored refuses them all."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"assertion_id": pdf["assertion_id"], "vector": [list(map(float, embedder(t or ""))) for t in pdf["text"]]})
+
+    out = cut(rows.mapInPandas(run, "assertion_id long, vector array<double>"))
+    bad = out.withColumn("why", vector.problems("vector", dim, metric)).where("why is not null").select("why").first()
+    if bad:
+        raise ValueError(bad["why"])
+    return vector.prepare(out, dim, metric)
+
+
+def related(ok: DataFrame, at: Callable, known: DataFrame) -> DataFrame:
+    """known edge versions with those of the items' relations, and the tombstones of their closures.
+
+    A closure meets every triple of its subject and predicate; what holds of a triple
+    depends on that triple's own versions and closures in order, so triples are folded
+    apart.
+    """
+    place = F.struct("observed_at", "session", "position")
     rel = ok.where("section = 'relations'").join(at("subject", "s"), ["session", "position", "subject"]).join(at("object", "o"), ["session", "position", "object"]).where("s <> o")
-    edges = rel.select(F.col("s").alias("subject"), "predicate", F.col("o").alias("object"), F.lit(0).cast("long").alias("seq"), F.lit(True).alias("present"), F.col("at").alias("valid_from"), F.lit(None).cast("long").alias("valid_to"), F.col("observed_at").alias("tx"), "session", "position")
-    closures = ok.where("section = 'closures'").join(at("subject", "s"), ["session", "position", "subject"]).select(F.col("s").alias("subject"), "predicate", "at", F.col("session").alias("cs"), F.col("position").alias("cp"), F.col("observed_at").alias("ctx"))
-    # the first closure of its (subject, predicate) behind an assertion, in another turn, ends it
-    order = lambda t, session, position, last: F.struct(t.alias("t"), session.alias("s"), position.alias("p"), F.lit(last).alias("l"))
-    stated = edges.select(*TRIPLE, "valid_from", order(F.col("tx"), F.col("session"), F.col("position"), 1).alias("o"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("ctx"))
-    ends = closures.select("subject", "predicate", F.lit(None).cast("long").alias("object"), F.lit(None).cast("long").alias("valid_from"), order(F.col("ctx"), F.col("cs"), F.col("cp"), 0).alias("o"), "at", "ctx")
-    coming = Window.partitionBy("subject", "predicate").orderBy("o").rowsBetween(1, Window.unboundedFollowing)
-    met = stated.unionByName(ends).withColumn("next", F.first(F.when(F.col("at").isNotNull(), F.struct("at", "ctx")), ignorenulls=True).over(coming))
-    ended = met.where("object is not null and next is not null and valid_from <= next.at").select(*TRIPLE, "next.at", "next.ctx").distinct()
-    tombs = ended.select(*TRIPLE, F.lit(1).cast("long").alias("seq"), F.lit(False).alias("present"), F.col("at").alias("valid_from"), F.lit(None).cast("long").alias("valid_to"), F.col("ctx").alias("tx"))
-    written = edges.drop("session", "position").unionByName(tombs)
-    n = F.row_number().over(_triple().orderBy("tx", "seq", "valid_from")) - 1
-    return Ingested(versions, written.withColumn("seq", n.cast("long")), reviews, items.where("why is not null"))
-
-
-def _order():
-    return Window.orderBy("observed_at", "session", "position", "item")
-
-
-def _log():
-    return Window.partitionBy("entity", "attribute")
-
-
-def _triple():
-    return Window.partitionBy(*TRIPLE)
-
-
-def start(turns: DataFrame, completer: Callable[[str, str | None], str], commit: Callable[[Ingested, int], None], done: Callable[[SparkSession], set[int]], checkpoint: str, ruleset: Ruleset = RULES):
-    """A streaming query that ingests each micro-batch once: batches that the commit log names already are skipped."""
+    stated = rel.select(F.col("s").alias("subject"), "predicate", F.col("o").alias("object"), place.alias("turn"), F.lit(1).alias("step"), F.col("item").cast("long").alias("nth"), F.lit(True).alias("present"), F.col("at").alias("valid_from"), F.lit(None).cast("long").alias("valid_to"), F.col("observed_at").alias("tx"), F.lit("tool_output").alias("source"), F.col("session").cast("string").alias("session"), F.lit(None).cast("string").alias("because"))
+    closures = ok.where("section = 'closures'").join(at("subject", "s"), ["session", "position", "subject"]).select(F.col("s").alias("subject"), "predicate", place.alias("turn"), F.lit(2).alias("step"), F.col("item").cast("long").alias("nth"), F.col("at").alias("valid_from"), F.col("observed_at").alias("tx"), F.col("session").cast("string").alias("session"), F.col("text").alias("because"))
+    old = known.select(*TRIPLE, F.lit(None).cast(stated.schema["turn"].dataType).alias("turn"), F.lit(0).alias("step"), F.col("seq").alias("nth"), "present", "valid_from", "valid_to", "tx", "source", "session", "because")
+    triples = stated.select(*TRIPLE).unionAll(known.select(*TRIPLE)).distinct()
+    ends = closures.join(triples, ["subject", "predicate"]).select(*TRIPLE, "turn", "step", "nth", F.lit(None).cast("boolean").alias("present"), "valid_from", F.lit(None).cast("long").alias("valid_to"), "tx", F.lit("agent_inference").alias("source"), "session", "because")
+    rows = old.unionByName(stated).unionByName(ends)
+    columns = ["present", "valid_from", "valid_to", "tx", "source", "session", "because"]
+
+    def run(t: pa.Table) -> pa.Table:
+        events = sorted(t.to_pylist(), key=lambda r: (r["turn"] is not None, tuple(r["turn"].values()) if r["turn"] is not None else (), r["step"], r["nth"]))
+        log: list[dict] = []
+        for e in events:
+            if e["step"] < 2:
+                log.append(e)
+                continue
+            if any(v["step"] == 1 and v["turn"] == e["turn"] for v in log):
+                continue  # asserted in the same turn
+            live = [(v["tx"], i) for i, v in enumerate(log) if v["valid_from"] <= e["valid_from"] and (v["valid_to"] is None or e["valid_from"] < v["valid_to"])]
+            if live and log[max(live)[1]]["present"]:
+                log.append(e | {"present": False})
+        return pa.Table.from_pylist([{c: v[c] for c in TRIPLE} | {"seq": i} | {c: v[c] for c in columns} for i, v in enumerate(log)], schema)
+
+    long, text = pa.int64(), pa.string()
+    schema = pa.schema([("subject", long), ("predicate", text), ("object", long), ("seq", long), ("present", pa.bool_()), ("valid_from", long), ("valid_to", long), ("tx", long), ("source", text), ("session", text), ("because", text)])
+    return rows.groupBy(*TRIPLE).applyInArrow(run, SCHEMAS["edges"])
+
+
+def start(turns: DataFrame, completer: Callable[[str, str | None], str], commit: Callable[[Ingested, int], None], done: Callable[[SparkSession], set[int]], checkpoint: str, ruleset: Ruleset = RULES, memory: Callable[[SparkSession], Memory | None] | None = None):
+    """A streaming query that ingests each micro-batch once, behind what the memory holds by then: batches that the commit log names already are skipped."""
 
     def each(batch: DataFrame, number: int) -> None:
-        if number not in done(batch.sparkSession):
-            commit(ingest(batch, completer, ruleset), number)
+        spark = batch.sparkSession
+        if number not in done(spark):
+            commit(ingest(batch, completer, ruleset, memory(spark) if memory else None), number)
 
     return turns.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-

@@ -7,7 +7,7 @@ from bitempo.cli import render, run
 from bitempo.config import TEMPLATE, Config, ConfigError
 from bitempo.operators.extract import stub_completer
 from bitempo.sources.storage import Snapshots
-from bitempo.streaming.ingest import start
+from bitempo.streaming.ingest import ingest, start
 
 
 def test_config():
@@ -27,22 +27,47 @@ def test_command_line(spark, tmp_path):
     assert run(spark, [*store, "init"])
     with pytest.raises(SystemExit):
         run(spark, [*store, "init"])
-    assert "versions" in run(spark, [*store, "remember", "cat sat on a mat", "--speaker", "Ann"], now=1000)[0]
-    assert run(spark, [*store, "recall", "mat", "-k", "1"])[0].split()[2] == "mat"
-    assert run(spark, [*store, "about", "1", "said"], now=2000) == ["mat"]
-    assert run(spark, [*store, "about", "1", "nothing"], now=2000) == ["never discussed"]
+    first = run(spark, [*store, "remember", "cat sat on a mat", "--speaker", "Ann"], now=1000)
+    assert first[:3] == ["Ann (person): new, 1", "cat (thing): new, 2", "3 versions written"] and len(first) > 3, "what is dropped is told"
+    again = run(spark, [*store, "remember", "cow sat on a rug", "--speaker", "Ann"], now=3000)
+    assert again[0] == "Ann (person): recognised as 1", "identity goes on from the store"
+    assert run(spark, [*store, "about", "1", "said"], now=4000) == ["rug"]
+    assert run(spark, [*store, "about", "1", "said", "--as-of", "2000"], now=4000) == ["mat"]
+    assert run(spark, [*store, "about", "1", "nothing"], now=4000) == ["never discussed"]
+    hits = run(spark, [*store, "recall", "cat sat on a mat", "-k", "9", "--entity", "1"], now=4000)
+    assert any("said: mat" in h and h.endswith("superseded") for h in hits) and all(h.startswith("1 ") for h in hits)
     assert run(spark, [*store, "review"]) == []
+    with pytest.raises(ValueError):
+        run(spark, [*store, "review", "confirm", "5"])
     assert render("refused", None, "why") == "refused to guess: why"
 
 
+def test_reviews_are_settled(spark, tmp_path):
+    store = ["--store", str(tmp_path / "m")]
+    run(spark, [*store, "init"])
+    for i, who in enumerate(("Marianna", "Mariana", "Marian")):
+        run(spark, [*store, "remember", "cat sat on a mat", "--speaker", who], now=1000 * (i + 1))
+    asked = run(spark, [*store, "review"])
+    if not asked:
+        pytest.skip("the stand-in's names are no close call under the shipped rules")
+    number = asked[0].split(":")[0]
+    assert run(spark, [*store, "review", "reject", number]) == [f"settled {number} as different"]
+    assert len(run(spark, [*store, "review"])) == len(asked) - 1
+
+
 def test_stream_commits_each_batch_once(spark, tmp_path):
     rows = spark.createDataFrame([(1, i, "Ann", f"turn {i} of the talk", 1000 + i) for i in range(3)], "session long, position long, speaker string, text string, observed_at long")
-    rows.write.parquet(str(tmp_path / "in"))
+    for i in range(3):
+        rows.where(F.col("position") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     store = Snapshots(spark, str(tmp_path / "m"))
-    commit = lambda got, n: store.commit({"versions": got.versions, "edges": got.edges}, batch=n)
+    commit = lambda got, n: store.save(got.memory, batch=n)
+    known = lambda s: store.open(64, "cosine")
     for _ in range(2):
-        q = start(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), stub_completer, commit, lambda s: store.batches(), str(tmp_path / "c"))
-        q.awaitTermination(120)
+        q = start(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), stub_completer, commit, lambda s: store.batches(), str(tmp_path / "c"), memory=known)
+        q.awaitTermination(300)
         assert q.exception() is None
-    assert store.batches() == {0}
+    assert len(store.batches()) == 3
     assert store.read("versions").where(F.col("attribute") == "said").count() == 3
+    whole = ingest(rows, stub_completer).memory
+    ids = lambda m: sorted((r.entity, r.record["name"]) for r in m.identity.collect())
+    assert ids(known(spark)) == ids(whole), "three batches give what one gives"
