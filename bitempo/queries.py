@@ -692,7 +692,7 @@ def relate_edges(spark, d):
     return mutations.relate(e, new, ends).select("subject", "predicate", "object", "seq", "present")
 
 
-@query("SELECT n_nationkey + 1000 AS subject, 'in_region' AS predicate, CAST(n_regionkey AS BIGINT) AS object FROM nation WHERE n_nationkey % 2 = 1")
+@query("SELECT CAST(n_nationkey + 1000 AS BIGINT) AS subject, 'in_region' AS predicate, CAST(n_regionkey AS BIGINT) AS object FROM nation WHERE n_nationkey % 2 = 1")
 def unrelate_edges(spark, d):
     """In force after every second nation is taken out of its region."""
     e = views.edge_versions(spark, d).where("predicate = 'in_region'")
