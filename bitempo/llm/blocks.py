@@ -35,7 +35,7 @@ BLOCKS = "block long, n_rows long, n_bytes long, rows binary"
 
 def to_ipc(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
         w.write_table(table)
     return sink.getvalue().to_pybytes()
 
