@@ -77,12 +77,22 @@ def block_sizes(records: DataFrame, blocking: tuple[Blocking, ...]) -> DataFrame
     return keyed(records, blocking).groupBy("key").agg(n.alias("records"), (n * (n - 1) / 2).cast("long").alias("pairs"))
 
 
-def candidate_pairs(records: DataFrame, blocking: tuple[Blocking, ...]) -> DataFrame:
-    """(a, b), a < b, of records that share a key; without rules, all pairs."""
+def candidate_pairs(records: DataFrame, blocking: tuple[Blocking, ...], big: int = 2048) -> DataFrame:
+    """(a, b), a < b, of records that share a key; without rules, all pairs.
+
+    A block of more than `big` records is dealt into shares by id, and any two of its
+    shares, or one with itself, meet in a task of their own, so no task makes more
+    than big * big pairs of one block, give or take the shares' sizes.
+    """
     if not blocking:
         return records.select(F.col("id").alias("a")).join(records.select(F.col("id").alias("b")), F.col("a") < F.col("b"))
     k = keyed(records, blocking)
-    return k.select("key", F.col("id").alias("a")).join(k.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
+    large = k.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > big).select("key", F.ceil(F.col("n") / big).alias("shares"))
+    dealt = k.join(large, "key", "left").withColumn("shares", F.coalesce("shares", F.lit(1).cast("long"))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("shares")))
+    left = dealt.select("key", F.col("id").alias("l"), F.col("own").alias("low"), F.explode(F.sequence(F.col("own"), F.col("shares") - 1)).alias("high"))
+    right = dealt.select("key", F.col("id").alias("r"), F.col("own").alias("high"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))).alias("low"))
+    met = left.join(right, ["key", "low", "high"]).where((F.col("low") < F.col("high")) | (F.col("l") < F.col("r")))
+    return met.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
 
 
 def score(rules: tuple[Rule, ...], left: str = "ra", right: str = "rb") -> Column:

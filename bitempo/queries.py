@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitempo.functions import text as T
-from bitempo.functions.interval import contains, is_empty
+from bitempo.functions.interval import between, contains, is_empty, provenance, since
 from bitempo.operators import analytics, extract, graph, mutations, remember, resolve, survivorship, temporal, vector
 from bitempo.operators.memory import Memory
 from bitempo.operators.recall import Query, recall
@@ -59,6 +59,21 @@ def interval_is_empty(spark, d):
     return views.event_versions(spark, d).withColumn("valid_to", F.col("tx")).select("entity", "seq", is_empty().alias("empty"))
 
 
+@query(f"WITH {VE} SELECT entity, seq, (valid_from <= {VALID_T}) AS open_covers, (valid_from <= {VALID_T} AND {VALID_T} < tx) AS closed_covers, (tx <= valid_from) AS closed_empty FROM ve")
+def interval_since_between(spark, d):
+    """An interval without an end and one up to the instant of learning, of each version."""
+    v = views.event_versions(spark, d)
+    (a, b), (x, y) = since(F.col("valid_from")), between(F.col("valid_from"), F.col("tx"))
+    v = v.select("entity", "seq", a.alias("a"), b.alias("b"), x.alias("x"), y.alias("y"))
+    return v.select("entity", "seq", contains(VALID_T, "a", "b").alias("open_covers"), contains(VALID_T, "x", "y").alias("closed_covers"), is_empty("x", "y").alias("closed_empty"))
+
+
+@query(f"WITH {VE} SELECT source, count(*) AS versions, min(tx) AS first, max(tx) AS last, count(DISTINCT session) AS refs FROM ve GROUP BY 1")
+def provenance_by_source(spark, d):
+    v = views.event_versions(spark, d).select(provenance(F.col("source"), F.col("tx"), F.col("session")).alias("p"))
+    return v.groupBy(F.col("p.source").alias("source")).agg(F.count("*").alias("versions"), F.min("p.observed_at").alias("first"), F.max("p.observed_at").alias("last"), F.countDistinct("p.source_ref").alias("refs"))
+
+
 def _as_of_sql(view: str, cte: str, valid: int, tx: int) -> str:
     return f"WITH {cte}, top AS (SELECT entity, attribute, state, value FROM (SELECT *, row_number() OVER (PARTITION BY entity, attribute ORDER BY tx DESC, seq DESC) AS r FROM {view} WHERE tx <= {tx} AND valid_from <= {valid} AND (valid_to IS NULL OR {valid} < valid_to)) WHERE r = 1) SELECT k.entity, k.attribute, coalesce(top.state, 'unknown') AS state, top.value FROM (SELECT DISTINCT entity, attribute FROM {view}) k LEFT JOIN top ON k.entity = top.entity AND k.attribute = top.attribute"
 

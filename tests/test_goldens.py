@@ -9,7 +9,7 @@ from bitempo.functions.text import _plain, compare, jaro_of, jaro_winkler_of, no
 from bitempo.operators import analytics, mutations, remember, survivorship, temporal
 from bitempo.operators.extract import Unparsable, resolve_days, salvage
 from bitempo.operators.graph import Walk, neighborhood
-from bitempo.operators.resolve import Blocking, Rule, Ruleset, resolve
+from bitempo.operators.resolve import Blocking, Rule, Ruleset, candidate_pairs, resolve
 from bitempo.operators.survivorship import Policy, Strategy
 from bitempo.sources import integrity
 from bitempo.sources.storage import Snapshots
@@ -97,6 +97,15 @@ def test_resolution(spark):
         Ruleset((Rule("name", "exact", 0.1, 0.9),), (), 0, 1)
 
 
+def test_large_blocks_lose_no_pair(spark):
+    names = [f"{'mill' if i % 3 else 'forge'} {i % 7}" for i in range(60)]
+    r = spark.createDataFrame([(i, {"name": n}) for i, n in enumerate(names)], "id long, record map<string,string>")
+    shared = {(a, b) for a in range(60) for b in range(a + 1, 60) if set(names[a].split()) & set(names[b].split())}
+    for big in (1, 7, 2048):
+        found = [(x.a, x.b) for x in candidate_pairs(r, (Blocking("token", "name"),), big).collect()]
+        assert len(found) == len(set(found)) and set(found) == shared
+
+
 def test_walks(spark):
     e = spark.createDataFrame([(i, "knows", i + 1, 0, True, 1, None, 1) for i in range(1, 4)] + [(3, "knows", 4, 1, False, 2, None, 2)], E)
     nodes = spark.createDataFrame([(i,) for i in range(1, 5)], "entity long")
