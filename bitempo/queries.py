@@ -780,7 +780,21 @@ def _turns(spark, d) -> DataFrame:
     return views.turns(spark, d).withColumn("observed_at", F.col("session") * 1000 + F.col("position"))
 
 
-@query()
+#: What the stand-in for a model answers to each turn, item by item.
+SAID = r"""t AS (SELECT conv_id AS session, CAST(turn AS BIGINT) AS position, conv_id * 1000 + turn AS seen, coalesce(role, 'someone') AS speaker, left(text, 40) AS start, regexp_extract_all(coalesce(text, ''), '[^\s]+') AS w FROM conversations),
+  g AS (SELECT *, len(w) AS n FROM t WHERE len(w) % 11 > 0),
+  i AS (SELECT session, position, 'response' AS section, 0 AS item, NULL AS subject, NULL AS object, NULL AS kind, NULL AS name, NULL AS attribute, NULL AS predicate, NULL AS value, NULL AS text, NULL AS "at", 'unparsable' AS why FROM t WHERE len(w) % 11 = 0
+  UNION ALL SELECT session, position, 'mentions', 0, NULL, NULL, 'person', speaker, NULL, NULL, NULL, start, NULL, NULL FROM g
+  UNION ALL SELECT session, position, 'mentions', 1, NULL, NULL, 'thing', w[1], NULL, NULL, NULL, start, NULL, NULL FROM g
+  UNION ALL SELECT session, position, 'facts', 0, 0, NULL, NULL, NULL, 'said', NULL, CASE WHEN n % 3 > 0 THEN w[n] END, start, seen - n % 5 * 86400000, NULL FROM g
+  UNION ALL SELECT session, position, 'facts', 1, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'subject names no mention' FROM g
+  UNION ALL SELECT session, position, 'facts', 2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'value is not a string' FROM g
+  UNION ALL SELECT session, position, 'relations', 0, CASE WHEN n % 7 > 0 THEN 0 END, CASE WHEN n % 7 > 0 THEN 1 END, NULL, NULL, NULL, CASE WHEN n % 7 > 0 THEN 'spoke_of' END, NULL, NULL, CASE WHEN n % 7 > 0 THEN seen END, CASE WHEN n % 7 = 0 THEN 'days_ago is negative' END FROM g
+  UNION ALL SELECT session, position, 'relations', 1, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'an edge to itself' FROM g
+  UNION ALL SELECT session, position, 'closures', 0, 0, NULL, NULL, NULL, NULL, 'spoke_of', NULL, 'over', seen, NULL FROM g WHERE n % 4 = 0)"""
+
+
+@query(f"WITH {SAID} SELECT session, position, section, item, CAST(subject AS INTEGER) AS subject, CAST(object AS INTEGER) AS object, kind, name, attribute, predicate, value, text, CAST(\"at\" AS BIGINT) AS \"at\", why FROM i")
 def extract_salvage(spark, d):
     return extract.extract(_turns(spark, d), extract.stub_completer)
 
@@ -839,7 +853,7 @@ def recall_against_exact(spark, d):
     return analytics.overlap(_search(spark, d, 7), _search(spark, d, 10))
 
 
-@query()
+@query(f"WITH {SAID}, o AS (SELECT session, position, count(*) FILTER (WHERE section = 'mentions' AND why IS NULL) AS m, count(*) FILTER (WHERE section = 'relations' AND why IS NULL) AS r, count(*) FILTER (WHERE why LIKE '%names no mention%') AS u FROM i GROUP BY 1, 2) SELECT count(*) AS responses, CAST(count(*) FILTER (WHERE m = 0) AS BIGINT) AS none, CAST(count(*) FILTER (WHERE m >= 2) AS BIGINT) AS two_or_more, CAST(sum(r) AS BIGINT) AS relations, CAST(sum(u) AS BIGINT) AS unanchored FROM o")
 def response_shape(spark, d):
     return analytics.response_shape(extract.extract(_turns(spark, d), extract.stub_completer))
 
