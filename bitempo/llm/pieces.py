@@ -145,7 +145,8 @@ class Encoder:
                 odd |= np.array([s in t for t in texts])
         begins = split(cps, firsts)
         ends = np.append(begins[1:], len(cps))
-        s1, s2 = H.prefix(cps), H.prefix(cps, H.POWERS2)
+        wide = cps + np.uint32(1)  # so that U+0000 counts
+        s1, s2 = H.prefix(wide), H.prefix(wide, H.POWERS2)
         size = (ends - begins).astype(np.uint64)
         h1 = H.mix(H.spans(s1, begins, ends) + size)
         h2 = H.mix(H.spans(s2, begins, ends, H.POWERS2) ^ size)
@@ -191,9 +192,10 @@ def cut(text: str, limit: int, special=()) -> list[str]:
         return [text]
     out, a = [], 0
     while len(text) - a > limit:
-        wide, at = 4096, None
-        while at is None and a + limit - 1 + wide // 2 < len(text) + wide:
-            at = next((x for x in safe_boundaries(text, a + limit - 1, min(len(text), a + limit + wide))), None)
+        wide, at, stop = 4096, None, a + limit
+        while at is None and stop < len(text):
+            stop = min(len(text), a + limit + wide)
+            at = next(safe_boundaries(text, a + limit - 1, stop), None)
             wide *= 4
         if at is None:
             break

@@ -17,6 +17,7 @@ from bitempo.llm.op06_ngram_join import link_all, shingles
 from bitempo.llm.op08_warc import chunked, dechunk
 from bitempo.llm.op09_quality import best_cut, kth_largest
 from bitempo.llm.op10_token_counts import encode_huge
+from bitempo.llm.pieces import cut
 from bitempo.llm.suffixes import suffix_array
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,6 +38,21 @@ def test_encoders_match_the_library():
         assert encode_huge(e, text, 200, 16).tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_with_nul_are_told_apart():
+    from tokenizers import Tokenizer
+
+    texts = ['"', "!\x00", "!", "\x00", "\x00\x00", "a\x00", "b"]
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    for kind in ("heap", "library"):
+        ids, off = encoder(kind, PATH).encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == want
+
+
+def test_long_texts_without_boundary_stay_whole():
+    assert cut("ab\n" * 10, 8) == ["ab\n" * 10]
+    assert cut("ab " * 5 + "c" * 9000, 8) == ["ab ab ab", " ab ab " + "c" * 9000]
+
+
 def test_suffix_array():
     rng = random.Random(3)
     for _ in range(100):
