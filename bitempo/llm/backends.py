@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import os
 import re
+from codecs import charmap_decode
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import regex
 
-from bitempo.llm.bpe import vocabulary
+from bitempo.llm.bpe import byte_alphabet, vocabulary
 from bitempo.llm.pieces import Encoder
 
 #: The split pattern of byte-level BPE, a fixed value of the file format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+ID = attrgetter("id")
+
 
 class HeapBackend:
     """Operator 1's own encoder."""
@@ -41,18 +45,25 @@ class HeapBackend:
 
 
 class LibraryBackend:
-    """The tokenizers library; many pieces go through one call, told apart by the library's word numbers."""
+    """The tokenizers library; pieces go to its model as they are, or, where its tokenizer does more than split and merge, many in one call, told apart by the library's word numbers."""
 
     joined = re.compile(r" ?[^\s]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        before = self.tokenizer.pre_tokenizer
+        plain = isinstance(self.tokenizer.model, BPE) and isinstance(before, ByteLevel) and not before.add_prefix_space and self.tokenizer.normalizer is None
+        #: The library's merging alone, where nothing but the byte alphabet comes before it.
+        self.merge = self.tokenizer.model.tokenize if plain else None
+        self.letters = "".join(sorted(byte_alphabet(), key=byte_alphabet().get))
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -66,6 +77,9 @@ class LibraryBackend:
         return np.asarray(got.ids, np.int32), starts[first], first
 
     def pieces(self, pieces: list[str], block: int = 2000) -> list[list[int]]:
+        if self.merge:
+            merge, letters = self.merge, self.letters
+            return [list(map(ID, merge(charmap_decode(p.encode(), "strict", letters)[0]))) for p in pieces]
         out: list[list[int]] = []
         for a in range(0, len(pieces), block):
             out += self._some(pieces[a : a + block])

@@ -49,3 +49,9 @@ def spans(s: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers = PO
     """Hashes of values[start:end], independent of where they stand."""
     _, down = powers.get(len(s))
     return (s[end] - s[start]) * down[start]
+
+
+def pieces(values: np.ndarray, start: np.ndarray, powers: Powers = POWERS) -> np.ndarray:
+    """As spans, for pieces that each end where the next one starts; start begins with 0, values are 64 bits wide."""
+    up, down = powers.get(len(values) + 1)
+    return np.add.reduceat(values * up[: len(values)], start) * down[start]

@@ -31,10 +31,9 @@ def classes() -> np.ndarray:
     return out
 
 
-def split(cps: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """Sorted starts of the pieces; firsts holds the start of each (non-empty) text."""
+def split(cps: np.ndarray, firsts: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Sorted starts of the pieces; firsts holds the start of each (non-empty) text, kind the class of each character."""
     n = len(cps)
-    kind = classes()[cps]
     new = np.empty(n, bool)
     new[0] = True
     np.not_equal(kind[1:], kind[:-1], out=new[1:])
@@ -67,6 +66,15 @@ def split(cps: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins[:n])
 
 
+def roomy(x: np.ndarray, n: int) -> np.ndarray:
+    """The array, or one of twice the size or more with room for n."""
+    if n <= len(x):
+        return x
+    out = np.zeros(max(2 * len(x), n), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 class Encoder:
     """Ids of texts. backend.pieces(list of str) encodes pieces, backend.whole(str) any text."""
 
@@ -75,24 +83,51 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.check = np.zeros(0, np.uint64)
-        self.where = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int32)
+        # entry i has pool[first[i]:first[i + 1]]; slots (open addressing) holds the entries by first hash, 0 where free
+        self.slots = np.zeros(1 << 12, np.int32)
+        self.keys = np.zeros(1 << 11, np.uint64)
+        self.check = np.zeros(1 << 11, np.uint64)
+        self.first = np.zeros(1 << 11, np.int64)
+        self.held = 1
         self.pool = np.zeros(1 << 16, np.int32)
         self.used = 0
 
-    def _add(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        size = np.fromiter(map(len, ids), np.int32, len(ids))
-        total = int(size.sum())
-        if self.used + total > len(self.pool):
-            grown = np.zeros(max(2 * len(self.pool), self.used + total), np.int32)
-            grown[: self.used] = self.pool[: self.used]
-            self.pool = grown
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, 0 for unknown ones."""
+        mask = len(self.slots) - 1
+        at = (keys & np.uint64(mask)).astype(np.int64)
+        found = self.slots[at]
+        going = np.flatnonzero((found > 0) & (self.keys[found] != keys))
+        while len(going):
+            at[going] = (at[going] + 1) & mask
+            found[going] = here = self.slots[at[going]]
+            going = going[(here > 0) & (self.keys[here] != keys[going])]
+        return found
+
+    def _place(self, entries: np.ndarray) -> None:
+        mask = len(self.slots) - 1
+        at = (self.keys[entries] & np.uint64(mask)).astype(np.int64)
+        while len(entries):
+            free = self.slots[at] == 0
+            self.slots[at[free]] = entries[free]
+            left = self.slots[at] != entries  # the slot is taken, or another entry has just won it
+            entries, at = entries[left], (at[left] + 1) & mask
+
+    def _add(self, keys: np.ndarray, check: np.ndarray, ids: list[list[int]]) -> np.ndarray:
+        """New entries for new keys, which differ."""
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        a, b, total = self.held, self.held + len(ids), int(size.sum())
+        self.keys, self.check, self.first, self.pool = roomy(self.keys, b), roomy(self.check, b), roomy(self.first, b + 1), roomy(self.pool, self.used + total)
+        self.keys[a:b], self.check[a:b] = keys, check
+        self.first[a + 1 : b + 1] = self.used + np.cumsum(size)
         self.pool[self.used : self.used + total] = [i for x in ids for i in x]
-        where = self.used + np.cumsum(size, dtype=np.int64) - size
-        self.used += total
-        return where, size
+        self.held, self.used = b, self.used + total
+        if 2 * b > len(self.slots):
+            self.slots = np.zeros(1 << (2 * b).bit_length(), np.int32)
+            self._place(np.arange(1, b, dtype=np.int32))
+        else:
+            self._place(np.arange(a, b, dtype=np.int32))
+        return np.arange(a, b, dtype=np.int32)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and offsets: text i has ids[offsets[i]:offsets[i + 1]]."""
@@ -139,39 +174,33 @@ class Encoder:
         text = "".join(texts)
         cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         firsts = np.cumsum(lengths) - lengths
-        odd = np.add.reduceat((classes()[cps] == UNKNOWN).astype(np.int64), firsts) > 0
+        kind = classes()[cps]
+        odd = np.add.reduceat((kind == UNKNOWN).astype(np.int64), firsts) > 0
         for s in self.backend.special:
             if s in text:
                 odd |= np.array([s in t for t in texts])
-        begins = split(cps, firsts)
+        begins = split(cps, firsts, kind)
         ends = np.append(begins[1:], len(cps))
-        wide = cps + np.uint32(1)  # so that U+0000 counts
-        s1, s2 = H.prefix(wide), H.prefix(wide, H.POWERS2)
         size = (ends - begins).astype(np.uint64)
-        h1 = H.mix(H.spans(s1, begins, ends) + size)
-        h2 = H.mix(H.spans(s2, begins, ends, H.POWERS2) ^ size)
-        keys, at, inverse = np.unique(h1, return_index=True, return_inverse=True)
-        check = h2[at]
-        if len(self.keys) + len(keys) > self.capacity:
-            self.clear()
-        pos = np.searchsorted(self.keys, keys)
-        known = pos < len(self.keys)
-        known[known] = self.keys[pos[known]] == keys[known]
-        known[known] = self.check[pos[known]] == check[known]
-        where, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32)
-        where[known], count[known] = self.where[pos[known]], self.size[pos[known]]
-        new = np.flatnonzero(~known)
+        wide = cps.astype(np.uint64) + np.uint64(1)  # so that U+0000 counts
+        h1 = H.mix(H.pieces(wide, begins) + size)
+        h2 = H.mix(H.pieces(wide, begins, H.POWERS2) ^ size)
+        found = self._find(h1)
+        new = np.flatnonzero(found == 0)
         if len(new):
-            a, b = begins[at[new]].tolist(), ends[at[new]].tolist()
-            where[new], count[new] = self._add(self.backend.pieces([text[x:y] for x, y in zip(a, b, strict=True)]))
-            fresh = new[pos[new] >= len(self.keys)] if not len(self.keys) else new[(pos[new] >= len(self.keys)) | (self.keys[np.minimum(pos[new], len(self.keys) - 1)] != keys[new])]
-            to = pos[fresh]
-            self.keys, self.check = np.insert(self.keys, to, keys[fresh]), np.insert(self.check, to, check[fresh])
-            self.where, self.size = np.insert(self.where, to, where[fresh]), np.insert(self.size, to, count[fresh])
-        clash = check[inverse] != h2  # two pieces of one block with the same first hash
-        n = count[inverse].astype(np.int64)
+            keys, at, inverse = np.unique(h1[new], return_index=True, return_inverse=True)
+            if self.held > 1 and self.held + len(keys) > self.capacity:
+                self.clear()
+                new = np.arange(len(h1))
+                keys, at, inverse = np.unique(h1, return_index=True, return_inverse=True)
+            at = new[at]
+            a, b = begins[at].tolist(), ends[at].tolist()
+            found[new] = self._add(keys, h2[at], self.backend.pieces([text[x:y] for x, y in zip(a, b, strict=True)]))[inverse]
+        clash = self.check[found] != h2  # two pieces with the same first hash
+        where = self.first[found]
+        n = self.first[found + 1] - where
         stop = np.cumsum(n)
-        ids = self.pool[np.repeat(where[inverse] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
+        ids = self.pool[np.repeat(where - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
         if clash.any():
             odd |= np.add.reduceat(clash.astype(np.int64), np.searchsorted(begins, firsts)) > 0
         return firsts, begins, stop, ids, odd

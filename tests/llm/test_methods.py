@@ -1,5 +1,6 @@
 """The operators' own algorithms against brute force."""
 
+import itertools
 import random
 import re
 
@@ -9,15 +10,16 @@ import pyarrow as pa
 import zstandard
 
 from bitempo.llm import blocks as B
+from bitempo.llm import hashing as H
 from bitempo.llm import op07_suffix_dedup as dedup
-from bitempo.llm.backends import encoder
+from bitempo.llm.backends import LibraryBackend, encoder
 from bitempo.llm.op04_mtree import MTree
 from bitempo.llm.op05_html import read_page
 from bitempo.llm.op06_ngram_join import link_all, shingles
 from bitempo.llm.op08_warc import chunked, dechunk
 from bitempo.llm.op09_quality import best_cut, kth_largest
 from bitempo.llm.op10_token_counts import encode_huge
-from bitempo.llm.pieces import cut
+from bitempo.llm.pieces import Encoder, cut
 from bitempo.llm.suffixes import suffix_array
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,6 +50,41 @@ def test_pieces_with_nul_are_told_apart():
         assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == want
 
 
+def test_new_pieces_cost_one_merge_each():
+    """New pieces go to the library's model, not through its splitting again, and leave the entries already held where they are."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghé") for _ in range(rng.randint(1, 12))) for _ in range(6000)]
+    texts = [" ".join(words[a : a + 100]) for a in range(0, 6000, 100)]
+    e = Encoder(LibraryBackend(PATH))
+    want = [e.backend.whole(t) for t in texts]
+    e.backend.tokenizer = None
+    ids, off = e.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == want
+    e.encode(["erster"])
+    held = e.keys
+    assert e.encode(["neuer Text"])[0].tolist() == LibraryBackend(PATH).whole("neuer Text") and e.keys is held
+
+
+def test_pieces_are_found_again_in_a_full_or_crowded_cache(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 40))) for _ in range(600)]
+    want = [encoder("library", PATH).backend.whole(t) for t in texts]
+
+    def agrees(e):
+        for _ in range(2):
+            for a in range(0, 600, 50):
+                ids, off = e.encode(texts[a : a + 50])
+                assert [ids[x:y].tolist() for x, y in zip(off[:-1], off[1:], strict=True)] == want[a : a + 50]
+
+    agrees(Encoder(LibraryBackend(PATH), capacity=100))
+    mix = H.mix
+    monkeypatch.setattr(H, "mix", lambda x: mix(x) & ~np.uint64(0xFFFF))  # all in one slot
+    agrees(Encoder(LibraryBackend(PATH)))
+    turn = itertools.count()
+    monkeypatch.setattr(H, "mix", lambda x: mix(x) if next(turn) % 2 else mix(x) >> np.uint64(56))  # equal first hashes
+    agrees(Encoder(LibraryBackend(PATH)))
+
+
 def test_long_texts_without_boundary_stay_whole():
     assert cut("ab\n" * 10, 8) == ["ab\n" * 10]
     assert cut("ab " * 5 + "c" * 9000, 8) == ["ab ab ab", " ab ab " + "c" * 9000]
