@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitempo.llm import hashing as H
-from bitempo.llm.spaces import partitions, through, tidied
+from bitempo.llm.spaces import partitions, through, tidied, tidy
 
 #: Bytes of text in a block, unless one row alone is longer.
 BLOCK_BYTES = 5 << 20
@@ -120,8 +120,11 @@ def exchange(sent: DataFrame, answer: Callable, path: str) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         rows = t.sort_by([("block", "ascending")]).to_pylist()
-        replies = answer(rows)
-        return pa.table({"block": pa.array([r["block"] for r in rows], pa.int64()), "part": pa.array([r["part"] for r in rows], pa.int32()), "reply": pa.array(replies, pa.binary())})
+        out = {"block": pa.array([r["block"] for r in rows], pa.int64()), "part": pa.array([r["part"] for r in rows], pa.int32())}
+        out["reply"] = pa.array(answer(rows), pa.binary())
+        del rows
+        tidy()
+        return pa.table(out)
 
     replies = sent.groupBy("part").applyInArrow(run, "block long, part int, reply binary")
     return through(replies.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "reply"))).alias("answers")), path)
@@ -169,12 +172,15 @@ def shared_counts(blocks: DataFrame, hashes_of: Callable, path: str, *answers: D
     """For each block, how often each of its distinct hashes occurs in all blocks. hashes_of(table, answers...) gives (ascending distinct hashes, their counts in the block); answers are a block's rows of earlier exchanges."""
     parts, bits = scale(blocks)
 
+    def hashed(block: int, raw, told) -> pa.RecordBatch:
+        h, c = hashes_of(from_ipc(raw.as_buffer()), *(x.as_py() or [] for x in told))
+        rows = list(send_hashes(h, c, bits, parts))
+        return pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["block", "part", "hashes", "counts"])
+
     def send(batches):
         for b in batches:
-            for block, raw, *told in zip(b.column(0).to_pylist(), b.column(1), *(c.to_pylist() for c in b.columns[2:]), strict=True):
-                h, c = hashes_of(from_ipc(raw.as_buffer()), *(x or [] for x in told))
-                rows = list(send_hashes(h, c, bits, parts))
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["block", "part", "hashes", "counts"])
+            for block, raw, *told in zip(b.column(0).to_pylist(), *b.columns[1:], strict=True):
+                yield hashed(block, raw, told)  # a block's arrays are gone when the next one is read
 
     return exchange(with_answers(blocks, *answers).mapInArrow(tidied(send), HASHES), total_counts, path)
 

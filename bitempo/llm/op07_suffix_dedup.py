@@ -116,14 +116,17 @@ class Block:
         one = np.uint64(1)
         return (((one << (most + 1).astype(np.uint64)) - one) & ~((one << least.astype(np.uint64)) - one)).astype(np.uint32)
 
-    def contexts(self, place: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """The bytes around each place; zeros outside its document."""
+    def contexts(self, place: np.ndarray, doc: np.ndarray, out: np.ndarray) -> None:
+        """Fill out with the bytes around each place; zeros outside its document."""
         gap, n = self.shape.wide, len(self.starts)
         padded = np.zeros(len(self.data) + gap * (n + 2), np.uint8)
         shift = gap * (np.arange(n) + 1)
         for a, b, c in zip(self.starts.tolist(), self.ends.tolist(), shift.tolist(), strict=True):
             padded[a + c : b + c] = self.data[a:b]
-        return np.lib.stride_tricks.sliding_window_view(padded, gap)[place + shift[doc] - self.shape.before]
+        around = np.lib.stride_tricks.sliding_window_view(padded, gap)
+        for a in range(0, len(place), STEP):
+            some = slice(a, a + STEP)
+            out[some] = around[place[some] + shift[doc[some]] - self.shape.before]
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Ascending distinct anchor hashes, and the number of documents with each."""
@@ -147,7 +150,7 @@ class Block:
             empty = np.zeros(0, np.int64)
             return (empty, empty, empty), (h, mask, empty, np.zeros((0, wide), np.uint8))
         words = np.zeros((len(place), -(-wide // 8) * 8), np.uint8)
-        words[:, :wide] = self.contexts(place, doc)
+        self.contexts(place, doc, words[:, :wide])
         words[len(some) :, length:] = 0
         context = words[:, :wide]
         words = words.view("<u8")
@@ -157,8 +160,9 @@ class Block:
         h[len(some) :] = H.mix(sums[len(some) :])
         order = np.lexsort((sums, h))  # stable: documents ascend within an entry
         new = np.ones(len(order), bool)
-        o, p = order[1:], order[:-1]
-        new[1:] = (h[o] != h[p]) | (mask[o] != mask[p]) | (words[o] != words[p]).any(axis=1)
+        for a in range(1, len(order), STEP):
+            o, p = order[a : a + STEP], order[a - 1 : a + STEP - 1][: len(order) - a]
+            new[a : a + STEP] = (h[o] != h[p]) | (mask[o] != mask[p]) | (words[o] != words[p]).any(axis=1)
         entry = np.empty(len(order), np.int64)
         entry[order] = np.cumsum(new) - 1
         first = order[new]
@@ -179,11 +183,12 @@ def send_entries(block: Block, totals: np.ndarray, hot: int, parts: int):
 
 def resolve(rows: list[dict], shape: Shape, block: int = 1 << 14) -> list[bytes]:
     """For each row's entries, the windows that also start in a document with a smaller key, as masks."""
-    parts = []
-    for r in rows:
-        n, raw = r["n"], zstandard.ZstdDecompressor().decompress(r["entries"])
-        parts.append((np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.uint32, n, 8 * n), np.frombuffer(raw, np.int64, n, 12 * n), np.frombuffer(raw, np.uint8, n * shape.wide, 20 * n).reshape(n, shape.wide)))
-    h, mask, key, context = (np.concatenate(x) for x in zip(*parts, strict=True))
+    cuts = np.cumsum([0, *(r["n"] for r in rows)])
+    h, mask, key, context = np.empty(cuts[-1], np.uint64), np.empty(cuts[-1], np.uint32), np.empty(cuts[-1], np.int64), np.empty((cuts[-1], shape.wide), np.uint8)
+    for r, a, b in zip(rows, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # one row's entries unpacked at a time
+        n, raw = r["n"], zstandard.ZstdDecompressor().decompress(r.pop("entries"))
+        h[a:b], mask[a:b], key[a:b] = np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.uint32, n, 8 * n), np.frombuffer(raw, np.int64, n, 12 * n)
+        context[a:b] = np.frombuffer(raw, np.uint8, n * shape.wide, 20 * n).reshape(n, shape.wide)
     found = np.zeros(len(h), np.uint32)
     order = np.argsort(h, kind="stable")
     s = h[order]
@@ -198,9 +203,8 @@ def resolve(rows: list[dict], shape: Shape, block: int = 1 << 14) -> list[bytes]
         idx = order[a:b]
         found[idx] = earlier(context[idx], group[a:b], mask[idx], key[idx], shape)
         a = b
-    cuts = np.cumsum([r["n"] for r in rows])[:-1]
     z = zstandard.ZstdCompressor(level=1)
-    return [z.compress(x.tobytes()) if len(x) else b"" for x in np.split(found, cuts)]
+    return [z.compress(x.tobytes()) if len(x) else b"" for x in np.split(found, cuts[1:-1])]
 
 
 def extents(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,14 +246,12 @@ def covered(block: Block, totals: np.ndarray, masks: np.ndarray, hot: int) -> np
     (place, doc, entry), (_, mask, first, _) = block.entries(totals, hot)
     later = block.keys[doc] > block.keys[first[entry]]
     bits = np.where(later, mask[entry], masks[entry])
-    on = np.flatnonzero(bits)
-    row, j = np.nonzero((bits[on][:, None] >> np.arange(block.shape.w, dtype=np.uint32)) & 1)
-    start = place[on][row] - j
     n = len(block.data)
-    start = np.unique(start)
-    edge = np.zeros(n + 1, np.int8)  # no more windows than their length cover a byte
-    edge[start] += 1
-    edge[start + block.shape.length] -= 1
+    start = np.zeros(n + 1, np.int8)
+    for j in range(block.shape.w):
+        start[place[(bits >> np.uint32(j)) & 1 > 0] - j] = 1
+    edge = start.copy()  # no more windows than their length cover a byte
+    edge[block.shape.length :] -= start[: -block.shape.length]
     return np.cumsum(edge[:n], dtype=np.int8) > 0
 
 
@@ -264,11 +266,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     parts, _ = B.scale(blocks)
     totals = B.shared_counts(blocks, lambda t: Block(t, key, text, shape).hashes(), f"{folder}/anchors")
 
+    def entries(block: int, raw, answers) -> pa.RecordBatch:
+        rows = list(send_entries(Block(B.from_ipc(raw.as_buffer()), key, text, shape), B.counts_of(answers.as_py() or []), hot, parts))
+        return pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["block", "part", "n", "entries"])
+
     def send(batches):
         for b in batches:
-            for block, raw, answers in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                rows = list(send_entries(Block(B.from_ipc(raw.as_buffer()), key, text, shape), B.counts_of(answers or []), hot, parts))
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["block", "part", "n", "entries"])
+            for block, raw, answers in zip(b.column(0).to_pylist(), *b.columns[1:], strict=True):
+                yield entries(block, raw, answers)  # a block's arrays are gone when the next one is read
 
     sent = B.with_answers(blocks, totals).mapInArrow(tidied(send), "block long, part int, n long, entries binary")
     masks = B.exchange(sent, lambda rows: resolve(rows, shape), f"{folder}/windows")
@@ -277,35 +282,34 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     kept = kept if texts else [f for f in kept if f.name == key]
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in kept] + [T.StructField(c, T.LongType()) for c in RESULT[:3]] + [T.StructField(RESULT[3], T.StringType())])
 
+    def kept_rows(raw, a0, a1) -> pa.RecordBatch:
+        block = Block(B.from_ipc(raw.as_buffer()), key, text, shape)
+        got = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x["reply"]), np.uint32) for x in sorted(a1.as_py() or [], key=lambda x: x["part"]) if x["reply"]]
+        gone = covered(block, B.counts_of(a0.as_py() or []), np.concatenate(got) if got else np.zeros(0, np.uint32), hot)
+        return digest(block, gone, [f.name for f in kept], text if texts else None)
+
     def finish(batches):
         for b in batches:
-            for raw, a0, a1 in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                block = Block(B.from_ipc(raw.as_buffer()), key, text, shape)
-                got = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x["reply"]), np.uint32) for x in sorted(a1 or [], key=lambda x: x["part"]) if x["reply"]]
-                gone = covered(block, B.counts_of(a0 or []), np.concatenate(got) if got else np.zeros(0, np.uint32), hot)
-                yield digest(block, gone, [f.name for f in kept], text if texts else None)
+            for raw, a0, a1 in zip(*b.columns[1:], strict=True):
+                yield kept_rows(raw, a0, a1)
 
     return B.with_answers(blocks, totals, masks).mapInArrow(tidied(finish), schema)
 
 
 def digest(block: Block, gone: np.ndarray, columns: list[str], text: str | None) -> pa.RecordBatch:
     """A row for each document of the block."""
-    sums = np.concatenate([[0], np.cumsum(gone, dtype=np.int32)])
-    opens = gone.copy()
-    opens[1:] &= ~gone[:-1]
-    firsts = block.starts[block.starts < block.ends]
-    opens[firsts] = gone[firsts]
-    spans = np.concatenate([[0], np.cumsum(opens, dtype=np.int32)])
-    kept, stay, hashes = block.data[~gone], [], []
-    ends = block.ends - sums[block.ends]
-    begins = block.starts - sums[block.starts]
-    for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
-        raw = kept[a:b].tobytes()
+    stay, hashes, counts = [], [], np.zeros((2, len(block.starts)), np.int64)
+    for i, (a, b) in enumerate(zip(block.starts.tolist(), block.ends.tolist(), strict=True)):
+        raw, some = block.data[a:b], gone[a:b]
+        if n := np.count_nonzero(some):
+            counts[:, i] = n, np.count_nonzero(some[1:] & ~some[:-1]) + some[0]
+            raw = raw[~some]
+        raw = raw.tobytes()
         hashes.append(hashlib.sha256(raw).hexdigest())
         if text:
-            stay.append(raw.decode("utf-8", "ignore"))
+            stay.append(raw.decode("utf-8", "ignore").encode() if n else raw)
     t = block.table
     out = [pa.array(stay, pa.string()) if c == text else t.column(c).combine_chunks() for c in columns]
     out = [x.chunk(0) if isinstance(x, pa.ChunkedArray) and x.num_chunks else x for x in out]
-    out += [pa.array(block.ends - block.starts), pa.array(sums[block.ends] - sums[block.starts]), pa.array(spans[block.ends] - spans[block.starts]), pa.array(hashes, pa.string())]
+    out += [pa.array(block.ends - block.starts), pa.array(counts[0]), pa.array(counts[1]), pa.array(hashes, pa.string())]
     return pa.RecordBatch.from_arrays(out, [*columns, *RESULT])

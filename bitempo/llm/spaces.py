@@ -76,14 +76,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def tidy() -> None:
+    """Give unused memory back to the system: a worker serves many stages, and what one keeps the next has not."""
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidied(run):
-    """run, giving unused memory back to the system after each batch: a worker serves many stages, and what one keeps the next has not."""
+    """run, tidy after each batch."""
 
     def tidy_run(batches):
         for out in run(batches):
             yield out
             del out
-            pa.default_memory_pool().release_unused()
-            ctypes.CDLL(None).malloc_trim(0)
+            tidy()
 
     return tidy_run

@@ -1,8 +1,10 @@
 """The operators' own algorithms against brute force."""
 
+import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -152,6 +154,29 @@ def test_repeats_match_brute_force():
                 assert removed(documents, n, hot) == want
 
 
+def test_kept_rows_take_memory_in_proportion_to_their_bytes():
+    """What a worker holds beside a block, in bytes for each byte of text: once for what is kept and once for its column, not several sums for each byte."""
+    rng = np.random.default_rng(11)
+    texts = ["".join(map(chr, rng.integers(97, 123, 1000))) for _ in range(1000)]
+    block = dedup.Block(pa.table({"doc_id": list(range(1000)), "text": texts}), "doc_id", "text", dedup.Shape(50, 28))
+    totals = np.full(len(block.distinct), 2)
+    _, (_, mask, _, _) = block.entries(totals, 1024)
+    assert dedup.covered(block, totals, mask, 1024).all()  # every window has an earlier copy
+    gone = np.zeros(len(block.data), bool)
+    gone[[0, 1, 2, 500, 999, 1000, 2998, 2999]] = True
+    tracemalloc.start()
+    try:
+        out = dedup.digest(block, gone, ["doc_id", "text"], "text")
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4 * len(block.data)
+    rows = out.slice(0, 4).to_pylist()
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"]) for r in rows] == [(1000, 5, 3), (1000, 1, 1), (1000, 2, 1), (1000, 0, 0)]
+    assert [r["text"] for r in rows] == [texts[0][3:500] + texts[0][501:999], texts[1][1:], texts[2][:998], texts[3]]
+    assert [r["kept_sha256"] for r in rows] == [hashlib.sha256(r["text"].encode()).hexdigest() for r in rows]
+
+
 def test_prefix_tree_links():
     rng = random.Random(7)
     for _ in range(120):
