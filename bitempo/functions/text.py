@@ -24,10 +24,13 @@ def tokens(c: Column) -> Column:
 
 def token_jaccard(a: Column, b: Column) -> Column:
     """Shared tokens of the left side, counted as often as they stand there, over all distinct ones counted by both lists: the value can exceed 1 where tokens repeat."""
-    ta, tb = tokens(a), tokens(b)
+    return _tokens_jaccard(tokens(a), tokens(b))
+
+
+def _tokens_jaccard(ta: Column, tb: Column) -> Column:
     both = F.size(F.filter(ta, lambda t: F.array_contains(tb, t)))
     rest = F.size(ta) + F.size(tb) - both
-    return F.when(F.size(ta) + F.size(tb) == 0, 1.0).when(rest == 0, F.lit(0.0)).otherwise(both / rest)
+    return F.when(ta.isNull() | tb.isNull(), F.lit(None).cast("double")).when(F.size(ta) + F.size(tb) == 0, 1.0).when(rest == 0, F.lit(0.0)).otherwise(both / rest)
 
 
 def jaro_of(a: str, b: str) -> float:
@@ -112,17 +115,27 @@ def possessive_aware(a: Column, b: Column) -> Column:
     return _pairwise(possessive_aware_of)(a, b)
 
 
-def compare(kind: str, a: Column, b: Column) -> Column:
-    """A comparator by name: exact, normalized, jaro_winkler, token_jaccard or possessive_aware."""
+def ready_for(kind: str, c: Column) -> Column:
+    """What compare_ready of that kind reads of a text."""
+    return {"normalized": lambda: normalize(c), "jaro_winkler": lambda: normalize(c), "token_jaccard": lambda: tokens(c)}.get(kind, lambda: c)()
+
+
+def compare_ready(kind: str, a: Column, b: Column) -> Column:
+    """A comparator by name, of texts made ready for it: exact, normalized, jaro_winkler, token_jaccard or possessive_aware."""
     return {
         "exact": lambda: (a == b).cast("double"),
-        "normalized": lambda: (normalize(a) == normalize(b)).cast("double"),
-        "jaro_winkler": lambda: jaro_winkler(normalize(a), normalize(b)),
-        "token_jaccard": lambda: token_jaccard(a, b),
+        "normalized": lambda: (a == b).cast("double"),
+        "jaro_winkler": lambda: jaro_winkler(a, b),
+        "token_jaccard": lambda: _tokens_jaccard(a, b),
         "possessive_aware": lambda: possessive_aware(a, b),
     }[kind]()
 
 
+def compare(kind: str, a: Column, b: Column) -> Column:
+    """A comparator by name."""
+    return compare_ready(kind, ready_for(kind, a), ready_for(kind, b))
+
+
 def possessive_parts(c: Column) -> Column:
     """struct(owner, head) of a phrase."""
 

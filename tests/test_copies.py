@@ -30,3 +30,51 @@ def test_every_part_is_a_mention(spark):
     got = Q["remember_incremental"](spark, D).collect()
     assert len(got) == n > names and sum(r.outcome == "merged" for r in got) >= n - names
     assert Q["resolve_members"](spark, D).count() == n
+
+
+def _brute(rows, rules):
+    """Every pair that shares a key, compared in plain Python, the earlier record on the left."""
+    from bitempo.operators.remember import bits
+
+    out = []
+    for i, x in rows:
+        for j, y in rows:
+            if i < j and x and y and set(x.split()) & set(y.split()):
+                s = bits(rules, {"name": x}, {"name": y})
+                out.append((i, j, round(s, 6), "match" if s >= rules.match_at else "review" if s >= rules.review_at else "non_match"))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("most", [1, 2, 1024])
+@pytest.mark.parametrize("match_at", [3.0, 5.0])
+def test_pairs_of_copies_against_brute_force(spark, monkeypatch, most, match_at):
+    """A comparator that counts the left side's tokens is not symmetric, so the order of each two records must tell."""
+    rules = resolve.Ruleset((resolve.Rule("name", "token_jaccard", 0.9, 0.05),), (resolve.Blocking("token", "name"),), -0.9, match_at)
+    names = ["a a b", "a b", "a a b", "a b", "a c", None, "c", "a c", "a a b", "d", "d", "a b", "c c a"]
+    rows = list(enumerate(names))
+    df = spark.createDataFrame(rows, "id long, name string").select("id", F.create_map(F.lit("name"), "name").alias("record"))
+    bundles = resolve.bundles
+    monkeypatch.setattr(resolve, "bundles", lambda r, b, m=most: bundles(r, b, min(m, most)))
+    want = _brute(rows, rules)
+    assert any(x[3] != y[3] for x in want for y in want if (names[x[0]], names[x[1]]) == (names[y[1]], names[y[0]])), "some decision depends on the order"
+    assert sorted(tuple(r) for r in resolve.scored_pairs(df, rules, 6).collect()) == want
+    counts = {d: sum(w[3] == d for w in want) for d in {w[3] for w in want}}
+    assert {r.decision: r.pairs for r in resolve.weighted_bands(df, rules).collect()} == counts
+    clusters, review = resolve.resolve(df, rules)
+    name = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, b, _, d in want:
+            if d == "match":
+                name[a] = name[b] = min(name[a], name[b])
+    assert {r.id: r.cluster for r in clusters.collect()} == name
+    assert sorted((r.a, r.b, round(r.score, 6)) for r in review.collect()) == [(a, b, s) for a, b, s, d in want if d == "review" and name[a] != name[b]]
+
+
+def test_pairs_are_not_shuffled(spark):
+    """What is exchanged is in proportion to the records, not to their pairs."""
+    df = spark.range(3000).select("id", F.create_map(F.lit("name"), F.lit("a"), F.lit("n"), (F.col("id") % 3).cast("string")).alias("record"))
+    rules = resolve.Ruleset((resolve.Rule("name", "exact", 0.9, 0.05),), (resolve.Blocking("exact", "name"),), -0.9, 3.0)
+    out = resolve.scored_pairs(df, rules)
+    assert out.count() == 3000 * 2999 // 2
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join Inner")], "no distinct above the join"
