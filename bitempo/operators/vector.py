@@ -88,7 +88,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
 
     keep is the scope that hits must be in, match names columns in which a hit must
     equal its query. Queries of at most ASKED_BYTES go to the rows, which stay where they
-    are read: each task gives its k best for each query. More queries are packed into
+    are read unless there are many queries: each task gives its k best for each query. More queries are packed into
     blocks of a fixed size; a row meets a block, not a query, and each batch of rows
     gives a block's k best only, so what is shuffled is small.
     """
@@ -113,59 +113,108 @@ def search(index: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
         for b in batches:
             for held, asked in zip(b.column(0), b.column(1), strict=True):
                 held, asked = held.values, asked.values
-                ids = np.asarray(held.field("assertion_id"))
-                x = np.stack(held.field("vector").to_numpy(zero_copy_only=False))
-                q = np.stack(asked.field("vector").to_numpy(zero_copy_only=False))
-                score = q @ x.T if metric == "cosine" else -np.sqrt(np.maximum(((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0))
-                ok = np.ones(score.shape, bool)
-                for m in match:
-                    ok &= np.asarray(asked.field(m))[:, None] == np.asarray(held.field(m))[None, :]
-                out = []
-                for i, qid in enumerate(np.asarray(asked.field("query_id"))):
-                    at = np.flatnonzero(ok[i])
-                    best = at[np.lexsort((ids[at], -score[i, at]))[:k]]
-                    out += [(int(qid), int(ids[j]), float(score[i, j])) for j in best]
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], ["query_id", "assertion_id", "score"])
+                x, q = (np.asarray(t.field("vector").flatten()).reshape(len(t), -1) for t in (held, asked))
+                best = Nearest(np.asarray(asked.field("query_id")), q, k, metric)
+                best.add(np.asarray(held.field("assertion_id")), x, [(np.asarray(asked.field(m)), np.asarray(held.field(m))) for m in match])
+                yield from best.rows()
 
     found = tasks.select("rows", "asked").mapInArrow(run, "query_id long, assertion_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "assertion_id"))
     return found.select("query_id", rank.alias("rank"), "assertion_id", "score").where(F.col("rank") <= k)
 
 
-def scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+#: Scores held at a time: a tile of queries and rows.
+TILE = 1 << 20
+#: How far a score by a matrix product may be from the score of its pair alone, of the squares it is made of.
+SLACK = 1e-11
+
+
+def exact_scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """The score of each q[i] and x[i], in the same steps wherever they stand, so equal pairs have equal scores."""
     if metric == "cosine":
-        return q @ x.T
-    return -np.sqrt(np.maximum(((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0))
+        return (q * x).sum(axis=1)
+    return -np.sqrt(((q - x) ** 2).sum(axis=1))
+
+
+class Nearest:
+    """The k best (score descending, id ascending) of each query among the rows added.
+
+    A tile of scores comes from one matrix product; pairs that may be among the k best
+    by it, give or take its rounding, are scored again each on its own. What is held
+    is a tile, the k best of each query, and the pairs of a tile that may be among
+    them, which are taken in parts.
+    """
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, metric: str):
+        self.ids, self.q, self.k, self.metric = ids, np.ascontiguousarray(q, np.float64), k, metric
+        self.square = (self.q**2).sum(axis=1)
+        # places not yet taken have the score -inf
+        self.found, self.score = np.zeros((len(ids), k), np.int64), np.full((len(ids), k), -np.inf)
+
+    def add(self, names: np.ndarray, x: np.ndarray, match: list[tuple[np.ndarray, np.ndarray]] = ()) -> None:
+        x = np.ascontiguousarray(x, np.float64)
+        for low in range(0, len(x), STEP):
+            part = slice(low, low + STEP)
+            rows, square = x[part], (x[part] ** 2).sum(axis=1)
+            many = max(1, TILE // max(1, len(rows)))
+            for at in range(0, len(self.ids), many):
+                asked = slice(at, at + many)
+                # in squares: of a cosine the score itself, of a distance minus its square
+                near = self.q[asked] @ rows.T
+                size = self.square[asked][:, None] + square[None, :]
+                if self.metric != "cosine":
+                    near = 2 * near - size
+                for own, theirs in match:
+                    near[own[asked][:, None] != theirs[part][None, :]] = -np.inf
+                floor = self.score[asked, -1]
+                floor = floor if self.metric == "cosine" else -(floor**2)
+                if near.shape[1] > self.k:
+                    # the k-th best of the tile itself, where that is more
+                    floor = np.maximum(floor, np.partition(near, -self.k, axis=1)[:, -self.k])
+                # what no row matches is -inf and never taken
+                i, j = np.nonzero((near >= floor[:, None] - SLACK * size) & (near > -np.inf))
+                self._take(i + at, names[part], rows, j)
+
+    def _take(self, i: np.ndarray, names: np.ndarray, rows: np.ndarray, j: np.ndarray) -> None:
+        for low in range(0, len(i), TILE // 16):
+            high = low + TILE // 16
+            a, b = i[low:high], j[low:high]
+            s = exact_scores(self.q[a], rows[b], self.metric)
+            own = np.unique(a)
+            held = self.score[own] > -np.inf
+            a = np.concatenate([a, np.repeat(own, held.sum(axis=1))])
+            n, s = np.concatenate([names[b], self.found[own][held]]), np.concatenate([s, self.score[own][held]])
+            order = np.lexsort((n, -s, a))
+            a, n, s = a[order], n[order], s[order]
+            place = np.arange(len(a)) - np.searchsorted(a, a)
+            top = place < self.k
+            self.score[own] = -np.inf
+            self.found[a[top], place[top]], self.score[a[top], place[top]] = n[top], s[top]
+
+    def rows(self):
+        for low in range(0, len(self.ids), 4096):
+            held = self.score[low : low + 4096] > -np.inf
+            if held.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids[low : low + 4096], held.sum(axis=1)), pa.int64()), pa.array(self.found[low : low + 4096][held]), pa.array(self.score[low : low + 4096][held])], ["query_id", "assertion_id", "score"])
 
 
 def _near_rows(index: DataFrame, asked: pa.Table, k: int, metric: str, match: list[str]) -> DataFrame:
     """search for queries that fit in every task."""
     ids = np.asarray(asked.column("query_id"))
-    q = np.array(asked.column("vector").to_pylist(), np.float64).reshape(len(ids), -1)
+    q = np.asarray(asked.column("vector").combine_chunks().flatten()).reshape(len(ids), -1 if len(ids) else 1)
     own = [np.asarray(asked.column(m)) for m in match]
 
     def run(batches):
-        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
-        for b in batches:
-            flat = b.column(1).flatten()
-            x = np.asarray(flat.cast(pa.float64())).reshape(b.num_rows, -1)
-            at = np.asarray(b.column(0))
-            for low in range(0, b.num_rows, STEP):
-                part, names = x[low : low + STEP], at[low : low + STEP]
-                s = scores(q, part, metric)
-                ok = np.ones(s.shape, bool)
-                for j, m in enumerate(own):
-                    ok &= m[:, None] == np.asarray(b.column(2 + j))[low : low + STEP][None, :]
-                for i in range(len(ids)):
-                    n = np.concatenate([best[i][0], names[ok[i]]])
-                    v = np.concatenate([best[i][1], s[i, ok[i]]])
-                    top = np.lexsort((n, -v))[:k]
-                    best[i] = n[top], v[top]
-        sizes = [len(n) for n, _ in best]
-        if sum(sizes):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([n for n, _ in best])), pa.array(np.concatenate([v for _, v in best]))], ["query_id", "assertion_id", "score"])
+        best = Nearest(ids, q, k, metric)
+        for b in (b for b in batches if b.num_rows):
+            x = np.asarray(b.column(1).flatten().cast(pa.float64())).reshape(b.num_rows, -1)
+            best.add(np.asarray(b.column(0)), x, [(m, np.asarray(b.column(2 + j))) for j, m in enumerate(own)])
+        yield from best.rows()
 
     rows = index.select(F.col("assertion_id").cast("long").alias("assertion_id"), "vector", *match)
+    if len(ids) > BLOCK:
+        # much work for a row: all tasks take part, however few files there are
+        rows = rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
     found = rows.mapInArrow(run, "query_id long, assertion_id long, score double") if len(ids) else rows.select(F.lit(0).cast("long").alias("query_id"), "assertion_id", F.lit(0.0).alias("score")).where("false")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "assertion_id"))
     return found.select("query_id", rank.alias("rank"), "assertion_id", "score").where(F.col("rank") <= k)
