@@ -78,3 +78,14 @@ def test_pairs_are_not_shuffled(spark):
     assert out.count() == 3000 * 2999 // 2
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join Inner")], "no distinct above the join"
+
+
+def test_edges_are_read_once_for_counts(spark):
+    """What survivors take over is told from one pass over the edges, and tasks take shares of a fixed number."""
+    from bitempo.operators import mutations
+
+    edges = spark.createDataFrame([(1, "p", 2), (2, "p", 1), (3, "p", 2), (3, "p", 2), (4, "q", 5)], "subject long, predicate string, object long")
+    merged = spark.createDataFrame([(2, 1), (5, 4)], "absorbed long, kept long")
+    out = mutations.repointed(edges, merged)
+    assert sorted(map(tuple, out.collect())) == [(1, 3), (4, 1)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [subject") == 1
